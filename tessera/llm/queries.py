@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, token_counts
+from tessera.llm import bpe, mixing, quality_rules, sharding, simhash, token_counts
 from tessera.llm.common import table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -18,13 +19,41 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "first_finish", "copies")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality_rules.quality_rules(docs, keep_text=False)
+    return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance2")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.simhash_groups(docs)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, public_tokenizers.path(PIECE_VOCABULARY))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op10_token_counts": op10_token_counts}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op4_mixing": op4_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_simhash": op8_simhash,
+    "op10_token_counts": op10_token_counts,
+}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}

@@ -6,19 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality_rules, sharding, simhash, token_counts
+from tessera.llm import bpe, langid_crf, mixing, quality_gbt, quality_rules, sharding, simhash, token_counts, warc
 from tessera.llm.common import table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_decode(docs, public_tokenizers.path(WORD_VOCABULARY), outputs="digests")
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_gbt.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "first_finish", "copies")
@@ -40,6 +51,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid_crf.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.token_counts(docs, public_tokenizers.path(PIECE_VOCABULARY))
@@ -47,11 +63,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -17,7 +17,9 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -196,6 +198,7 @@ def sha(text: str) -> str:
 #: Output columns by what is asked for.
 OUTPUTS = {
     "tokens": [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())],
+    "ids": [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())],
     "digests": [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())],
 }
 
@@ -204,8 +207,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", outputs:
     """Encode every whole text, decode the ids again.
 
     vocabulary: path of the JSON file, read on the driver and broadcast (a few MB, fixed by the
-    vocabulary).  outputs "tokens" adds n_tokens, ids and decoded; "digests" adds n_tokens and the
-    SHA-256 of the joined ids and of the decoded text, so that neither leaves the task.
+    vocabulary).  outputs "tokens" adds n_tokens, ids and decoded; "ids" has the SHA-256 of the
+    decoded text in its place, and "digests" that of the joined ids too, so that neither leaves the task.
     """
     with open(vocabulary, "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -222,12 +225,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", outputs:
             for value in batch.column(batch.schema.get_field_index(text)):
                 found = bpe.pieces(value.as_py() or "")
                 n_tokens.append(sum([p[0] for p in found]))
+                decoded = " ".join([p[2] for p in found if p[0]])
+                second.append(decoded if outputs == "tokens" else sha(decoded))
                 if outputs == "digests":
                     first.append(sha(" ".join([p[1] for p in found if p[0]])))
-                    second.append(sha(" ".join([p[2] for p in found if p[0]])))
                 else:
-                    first.append([i for p in found for i in p[3]])
-                    second.append(" ".join([p[2] for p in found if p[0]]))
+                    first.append(np.fromiter(chain.from_iterable([p[3] for p in found]), np.int32))
             made = [pa.array(n_tokens, pa.int64()), pa.array(first, pa.string() if outputs == "digests" else pa.list_(pa.int32())), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + made, names=passed + [f.name for f in added])
 

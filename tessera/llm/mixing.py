@@ -105,3 +105,13 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, times, copies, taken."""
     sized = written(docs.select("doc_id", "source", word_count(F.col(text)).alias("size")), "sizes")
     return mixed(sized)
+
+
+def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs as the mix holds them: each row as often as its document is taken.  Rows of one doc_id and
+    source count as one document here."""
+    sized = docs.groupBy("doc_id", "source").agg(F.sum(word_count(F.col(text))).alias("size"))
+    taken = mixed(written(sized, "sizes")).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of"))
+    joined = docs.join(taken, same)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -174,7 +174,11 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each group: that with the smallest id, once."""
-    found = simhash_groups(docs, text)
+    """docs with one document of each group: that with the smallest id, once if its rows repeat.
+    Rows with a null id stay."""
+    found = written(simhash_groups(docs, text).select("doc_id", "component_id"), "groups")
     dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.filter(F.col("doc_id").isNull()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid_crf, mixing, quality_gbt, quality_rules, sharding, simhash, token_counts, warc
+from tessera.llm import bpe, langid_crf, media, mixing, quality_gbt, quality_rules, sharding, simhash, token_counts, warc
 from tessera.llm.common import table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -35,6 +35,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "first_finish", "copies")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = media.rendered(table(spark, sf_dir, "embeddings"))
+    return media.copies(images).select(F.col("id").alias("vec_id"), "class_id", "n_links", "n_points")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_media": op5_media,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,

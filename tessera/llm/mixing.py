@@ -90,7 +90,8 @@ def mixed(sized: DataFrame) -> DataFrame:
     order = Window.partitionBy("bin").orderBy("time", "__key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = copies.filter(F.col("bin") == edge["bin"]).withColumn("upto", edge["upto"] - edge["sum"] + F.sum(size).over(order))
     last = inside.filter(F.col("upto") <= budget).agg(F.max(F.struct("time", "__key", "doc_id", "copy")).alias("last")).first()["last"]
-    bound = F.struct(*[F.lit(v) for v in last]) if last else F.struct(F.lit(edge["bin"] / BINS), F.lit(-(1 << 63)), F.lit(None).cast("long"), F.lit(0))
+    kinds = ("double", "long", timed.schema["doc_id"].dataType, "int")
+    bound = F.struct(*[F.lit(v).cast(k) for v, k in zip(last or (edge["bin"] / BINS, -(1 << 63), None, 0), kinds)])
     taken = [F.struct(F.col(c), F.col("__key"), F.col("doc_id"), F.lit(k)) <= bound for k, c in ((1, "first_finish"), (2, "second_finish"))]
     return marked(timed, *taken)
 

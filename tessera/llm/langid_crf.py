@@ -56,6 +56,10 @@ class Crf:
     def weights(self) -> list[np.ndarray]:
         return [self.affix, self.gram, self.lex, self.switch, self.start]
 
+    def moves(self) -> np.ndarray:
+        """Transition potentials, the largest of all 1."""
+        return np.exp(np.maximum(self.switch - self.switch.max(), -40))
+
     def save(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, names=np.array([*self.languages]), words=np.array([*self.lexicon]), **dict(zip("abcde", self.weights())))
@@ -139,7 +143,7 @@ def walk(crf: Crf, emission: np.ndarray, ids: np.ndarray, starts: np.ndarray, si
     """Forward-backward over texts in order of falling size: word i of text k is ids[starts[k] + i],
     emission holds its potentials.  Returns the sum of the marginals of each text; `each` is told
     the marginals of every step."""
-    move, n = scaled(crf.switch - crf.switch.max()), len(crf.languages)
+    move, n = crf.moves(), len(crf.languages)
     first = scaled(crf.start)
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than t
@@ -221,7 +225,7 @@ def fit(crf: Crf, words: list[str], ids: np.ndarray, labels: np.ndarray) -> None
     for step in range(1, STEPS + 1):
         emission = scaled(potentials(crf, words)).astype(np.float32)
         marginals, expected = np.empty((many * long, n), np.float32), np.zeros((n, n))
-        move = scaled(crf.switch - crf.switch.max())
+        move = crf.moves()
 
         def each(t, at, marginal, forward, beta):
             marginals[at] = marginal

@@ -84,7 +84,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def transformed() -> list[Column]:
     """The statistic vector in integers of 1/SCALE: word length (smoothed by 40 words of 5 letters),
     symbols, repeated lines and repeated windows for each word."""
-    n = F.col("n_words").cast("double")
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     vector = [
         F.log((F.col("word_chars") + 200) / (n + 40)),
         F.log1p(20 * F.col("n_symbols") / n),

@@ -359,10 +359,10 @@ def citation_check(spark: SparkSession, d: str) -> DataFrame:
     return explode.citation_checks(turns, turns.select("id", F.lit(1).alias("n")), "id")
 
 
-@query("SELECT path, 'chat: ' || strftime(min(ts), '%Y-%m-%d %H:%M') AS locator, count(*) AS n FROM (SELECT 'u' || user_id AS path, session, ts FROM (" + SESSION.replace("FROM events)", "FROM (SELECT event_id, user_id, date_trunc('minute', ts) AS ts FROM events WHERE user_id < 20))") + ")) GROUP BY path, session")
+@query("SELECT path, 'chat: ' || strftime(min(ts), '%Y-%m-%d %H:%M') AS locator, count(*) AS n FROM (SELECT 'u' || user_id AS path, session, ts FROM (" + SESSION.replace("FROM events)", "FROM (SELECT event_id, user_id, date_trunc('minute', ts) AS ts FROM events))") + ")) GROUP BY path, session")
 def chat_windows(spark: SparkSession, d: str) -> DataFrame:
     """Chat exports made of events, parsed back and cut at silences (no size limit here)."""
-    e = read(spark, d, "events").filter("user_id < 20")
+    e = read(spark, d, "events")
     line = F.concat(F.date_format("ts", "dd/MM/yy, HH:mm"), F.lit(" - U"), "user_id", F.lit(": "), "event_type", F.lit(" "), "event_id")
     files = e.select(F.concat(F.lit("u"), "user_id").alias("path"), F.struct("event_id", line.alias("l")).alias("x")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").alias("text"))
     windows = explode.conversation_windows(explode.messages(files), size=1 << 30)

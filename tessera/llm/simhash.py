@@ -52,8 +52,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def majority(hashes: np.ndarray) -> bytes:
-    """Of rows of 8 bytes: the bits set in over half of the rows."""
-    counts = np.zeros(BITS, np.int64)
+    """Of rows of bytes: the bits set in over half of the rows."""
+    counts = np.zeros(8 * hashes.shape[1], np.int64)
     for i in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[i : i + 65_536], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes)).tobytes()
@@ -173,12 +173,80 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+WIDE, WIDE_SHINGLE, SIMILAR = 256, 5, 0.8
+TABLES, TABLE_BITS, ORDER_BITS, NEXT = 32, 16, 8, 8
+
+
+def table_bits() -> np.ndarray:
+    """Bits of the wide fingerprint that each table takes: TABLE_BITS as its key, then ORDER_BITS."""
+    rng = np.random.default_rng(64)
+    return np.stack([rng.permutation(WIDE)[: TABLE_BITS + ORDER_BITS] for _ in range(TABLES)])
+
+
+def wide_bits(text: str | None) -> np.ndarray:
+    """The wide fingerprint's bits, from five-word shingles."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint8)
+    shingles = [b" ".join(s) for s in zip(*[words[i:] for i in range(WIDE_SHINGLE)])] or [b" ".join(words)]
+    digest = xxhash.xxh3_128_digest
+    joined = b"".join([digest(s, 1) + digest(s, 2) for s in shingles])
+    return np.unpackbits(np.frombuffer(majority(np.frombuffer(joined, np.uint8).reshape(-1, WIDE // 8)), np.uint8))
+
+
+def wide_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, fp, the wide fingerprint as longs w0 .. w3, and a key for each table."""
+    chosen, weight = table_bits(), 1 << np.arange(TABLE_BITS + ORDER_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            prints = [fingerprint(t.as_py()) for t in texts]
+            bits = np.array([wide_bits(t.as_py()) for t in texts], np.uint8).reshape(-1, WIDE)
+            longs = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+            keys = np.stack([bits[:, c] @ weight for c in chosen], axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * TABLES, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], lists], names=["doc_id", "fp", "w0", "w1", "w2", "w3", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, keys array<int>")
+
+
+def similar(wide: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Linked ids a < b whose wide fingerprints agree in that share of their bits.
+
+    Each table sorts its key's fingerprints by further bits; each meets the next NEXT of the order, so
+    a small bucket is compared in full and a crowded one costs linear work.  One shuffle carries the
+    fingerprints, pairs are verified where they are made.
+    """
+    columns = ["doc_id", "w0", "w1", "w2", "w3"]
+    keyed = wide.select(*columns, F.posexplode("keys").alias("part", "key"))
+    keyed = keyed.select(*columns, "part", (F.col("key") % (1 << TABLE_BITS)).alias("low"), F.shiftright("key", TABLE_BITS).alias("high"))
+    order = Window.partitionBy("part", "low").orderBy("high", "doc_id")
+    whole = F.struct(*columns)
+    met = keyed.select(*columns, F.array(*[F.lead(whole, k).over(order) for k in range(1, NEXT + 1)]).alias("met"))
+    apart = lambda x: sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(x[f"w{k}"])) for k in range(1, 4)), F.bit_count(F.col("w0").bitwiseXOR(x["w0"])))
+    most = int((1 - similarity) * WIDE)
+    near = F.filter("met", lambda x: x.isNotNull() & (x["doc_id"] != F.col("doc_id")) & (apart(x) <= most))
+    ends = met.select("doc_id", F.explode(F.transform(near, lambda x: x["doc_id"])).alias("other"))
+    return ends.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one document of each group: that with the smallest id, once if its rows repeat.
-    Rows with a null id stay."""
-    found = written(simhash_groups(docs, text).select("doc_id", "component_id"), "groups")
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+    Documents are of one group if their fingerprints link, or if their wide fingerprints of five-word
+    shingles agree in SIMILAR of the bits; of each linked group one goes on to the second test.  Texts of
+    fewer words than a shingle only meet equal ones.  Rows with a null id stay.
+    """
+    prints = written(wide_fingerprints(docs, text), "fingerprints")
+    found = written(groups(prints.select("doc_id", "fp")).select("doc_id", "component_id"), "groups")
+    heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    wide = prints.join(heads.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    more = components(similar(wide)).filter(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").union(more).distinct()
+    # what is dropped grows with the corpus, so it is never broadcast, at no size
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.filter(F.col("doc_id").isNull()))

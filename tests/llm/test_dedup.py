@@ -79,3 +79,21 @@ def test_rows(spark):
     kept = simhash.near_dedup(docs).collect()
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 3, 7] and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_find_near_copies(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(200)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    jaccards = []
+    for i, w in enumerate(base[:30]):  # two changed words: similarity of five-word shingles over 0.8
+        copy = list(w)
+        for at in rng.sample(range(200), 2):
+            copy[at] = word()
+        rows.append((100 + i, " ".join(copy)))
+        a, b = ({tuple(x[k : k + 5]) for k in range(196)} for x in (w, copy))
+        jaccards.append(len(a & b) / len(a | b))
+    rows += [(1000 + k, " ".join([*base[35][:-1], word()])) for k in range(60)]  # a crowd
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(jaccards) >= 0.8 and set(range(40)) <= kept and len(kept - set(range(40))) <= 2

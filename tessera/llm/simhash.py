@@ -174,62 +174,82 @@ def hexadecimal(fp: Column) -> Column:
 
 
 WIDE, WIDE_SHINGLE, SIMILAR = 256, 5, 0.8
-TABLES, TABLE_BITS, ORDER_BITS, NEXT = 32, 16, 8, 8
+#: Keys of a text, each of so many least shingles: two texts of Jaccard similarity 0.8 share one with probability 0.998.
+KEYS, KEY_SHINGLES = 12, 4
 
 
-def table_bits() -> np.ndarray:
-    """Bits of the wide fingerprint that each table takes: TABLE_BITS as its key, then ORDER_BITS."""
-    rng = np.random.default_rng(64)
-    return np.stack([rng.permutation(WIDE)[: TABLE_BITS + ORDER_BITS] for _ in range(TABLES)])
-
-
-def wide_bits(text: str | None) -> np.ndarray:
-    """The wide fingerprint's bits, from five-word shingles."""
+def wide_hashes(text: str | None) -> np.ndarray:
+    """Rows of 32 hash bytes, one for each five-word shingle (fewer words: the whole sequence)."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint8)
+        return np.zeros((0, WIDE // 8), np.uint8)
     shingles = [b" ".join(s) for s in zip(*[words[i:] for i in range(WIDE_SHINGLE)])] or [b" ".join(words)]
     digest = xxhash.xxh3_128_digest
     joined = b"".join([digest(s, 1) + digest(s, 2) for s in shingles])
-    return np.unpackbits(np.frombuffer(majority(np.frombuffer(joined, np.uint8).reshape(-1, WIDE // 8)), np.uint8))
+    return np.frombuffer(joined, np.uint8).reshape(-1, WIDE // 8)
+
+
+def least_keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS longs: each folds the least values of KEY_SHINGLES orders of the shingles, and its own number."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(64)
+    odd = rng.integers(0, 1 << 63, KEYS * KEY_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    values = np.ascontiguousarray(hashes[:, :8]).view("<u8").astype(np.uint64)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(values), 16_384):
+        least = np.minimum(least, (values[i : i + 16_384] * odd).min(axis=0))
+    rows = least.reshape(KEYS, KEY_SHINGLES)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
 
 
 def wide_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, the wide fingerprint as longs w0 .. w3, and a key for each table."""
-    chosen, weight = table_bits(), 1 << np.arange(TABLE_BITS + ORDER_BITS)
+    """doc_id, fp, the wide fingerprint as longs w0 .. w3, and the text's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            prints = [fingerprint(t.as_py()) for t in texts]
-            bits = np.array([wide_bits(t.as_py()) for t in texts], np.uint8).reshape(-1, WIDE)
-            longs = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-            keys = np.stack([bits[:, c] @ weight for c in chosen], axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * TABLES, pa.int32()), pa.array(keys.ravel()))
+            prints, wide, keys = [], [], []
+            for t in batch.column(1):
+                prints.append(fingerprint(t.as_py()))
+                hashes = wide_hashes(t.as_py())
+                wide.append(majority(hashes))
+                keys.append(least_keys(hashes))
+            longs = np.frombuffer(b"".join(wide), ">i8").reshape(-1, 4).astype(np.int64)
+            lists = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], lists], names=["doc_id", "fp", "w0", "w1", "w2", "w3", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, keys array<int>")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, keys array<long>")
 
 
 def similar(wide: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Linked ids a < b whose wide fingerprints agree in that share of their bits.
+    """Links a < b of distinct doc_id whose wide fingerprints agree in that share of their bits.
 
-    Each table sorts its key's fingerprints by further bits; each meets the next NEXT of the order, so
-    a small bucket is compared in full and a crowded one costs linear work.  One shuffle carries the
-    fingerprints, pairs are verified where they are made.
+    Texts that share a key meet.  Up to MOST of a key are compared pair by pair.  A larger group is
+    compared with its least member: who agrees with it is linked to it and leaves, the others go on
+    as a group with a least member of their own, until each is linked, is such a member or is among
+    MOST that are left.  So no text goes uncompared, and each turn is linear in what is left.
     """
-    columns = ["doc_id", "w0", "w1", "w2", "w3"]
-    keyed = wide.select(*columns, F.posexplode("keys").alias("part", "key"))
-    keyed = keyed.select(*columns, "part", (F.col("key") % (1 << TABLE_BITS)).alias("low"), F.shiftright("key", TABLE_BITS).alias("high"))
-    order = Window.partitionBy("part", "low").orderBy("high", "doc_id")
-    whole = F.struct(*columns)
-    met = keyed.select(*columns, F.array(*[F.lead(whole, k).over(order) for k in range(1, NEXT + 1)]).alias("met"))
-    apart = lambda x: sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(x[f"w{k}"])) for k in range(1, 4)), F.bit_count(F.col("w0").bitwiseXOR(x["w0"])))
-    most = int((1 - similarity) * WIDE)
-    near = F.filter("met", lambda x: x.isNotNull() & (x["doc_id"] != F.col("doc_id")) & (apart(x) <= most))
-    ends = met.select("doc_id", F.explode(F.transform(near, lambda x: x["doc_id"])).alias("other"))
-    return ends.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    bits = [f"w{k}" for k in range(WIDE // 64)]
+    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in bits[1:]), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
+    near = lambda x, y: apart(x, y) <= int((1 - similarity) * WIDE)
+    keyed = wide.select("doc_id", *bits, F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    left = written(keyed.join(cut(sizes).hint("merge"), "key"), "shared")
+    found, crowded = [], left.filter(F.col("n") > MOST)
+    few = left.filter(F.col("n") <= MOST)
+    while not crowded.isEmpty():
+        least = cut(crowded.groupBy("key").agg(F.min(F.struct("doc_id", *bits)).alias("l")))
+        faced = written(crowded.alias("c").join(least.hint("merge"), "key").withColumn("linked", near("c", "l")).filter("c.doc_id > l.doc_id"), "faced")
+        found.append(faced.filter("linked").select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b")))
+        rest = faced.filter("not linked").select("doc_id", *bits, "key")
+        left = written(rest.join(cut(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))).hint("merge"), "key"), "left")
+        few, crowded = few.unionByName(left.filter((F.col("n") > 1) & (F.col("n") <= MOST))), left.filter(F.col("n") > MOST)
+    a, b = few.alias("a"), few.alias("b")
+    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near("a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    for more in found:
+        links = links.union(more)
+    return links.distinct()
 
 
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -237,7 +257,7 @@ def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Documents are of one group if their fingerprints link, or if their wide fingerprints of five-word
     shingles agree in SIMILAR of the bits; of each linked group one goes on to the second test.  Texts of
-    fewer words than a shingle only meet equal ones.  Rows with a null id stay.
+    fewer words than a shingle are one shingle.  Rows with a null id stay.
     """
     prints = written(wide_fingerprints(docs, text), "fingerprints")
     found = written(groups(prints.select("doc_id", "fp")).select("doc_id", "component_id"), "groups")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -81,7 +82,9 @@ def test_rows(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
-def test_wide_fingerprints_find_near_copies(spark):
+@pytest.mark.parametrize("most", [4, 64])
+def test_wide_fingerprints_find_near_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base = [[word() for _ in range(200)] for _ in range(40)]

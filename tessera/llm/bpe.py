@@ -33,6 +33,21 @@ MEMO_CHARS = 64
 SPACE = "\t-\r\\x20\x85\xa0  -     　"
 #: Characters that str.split() takes for white space and the pattern doesn't.
 NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+# What the library's Unicode tables (16.0) and lower-case table (17.0) have differently
+# from the regex module's and Python's.
+#: Letters and numbers of later Unicode versions; unassigned, so symbols, to the library.
+LATER = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: Capitals that Python's lower() doesn't know yet.
+LATER_CAPITALS = regex.compile("[\u1c89\ua7cb\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 def byte_letters() -> list[str]:
@@ -126,9 +141,14 @@ class Bpe:
                 put(h, rank_of(ids[h] * base + x, -1))
         return [x for x in ids if x >= 0]
 
+    def words(self, chunk: str) -> list[str]:
+        if chunk.isascii() or not LATER.search(chunk):
+            return self.pretoken.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pretoken.finditer(LATER.sub("¦", chunk))]
+
     def encode_chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
-        for word in [chunk] if chunk.isalpha() else self.pretoken.findall(chunk):
+        for word in [chunk] if chunk.isalpha() else self.words(chunk):
             data = word.encode("utf-8")
             ids = [self.inner[b] for b in data]
             ids[-1] = self.last[data[-1]]
@@ -154,6 +174,8 @@ class Bpe:
     def chunks(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter
+            if LATER_CAPITALS.search(text):
+                text = text.translate(LATER_LOWER)
         text = text.lower()
         if NOT_SPACE.isdisjoint(text):
             return text.split()

@@ -57,6 +57,12 @@ def test_tree_equals_naive_merges(word_bpe):
         assert ours.merge(list(ids)) == naive(list(ids))
 
 
+def test_bpe_of_late_characters(word_bpe):
+    ours, library = word_bpe
+    for text in ("a:\U000323b0b", "\u1c89\ua7cb\U00010d50 \U00016ea0x1", "x\U00018e00,\U00012550 9"):
+        assert ours.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80).filter(lambda t: "\x00" not in t))
 def test_any_text(text):

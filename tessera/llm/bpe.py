@@ -17,7 +17,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks in each of the two generations that a Python worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 #: Longer chunks are encoded each time, to bound the memo's bytes.
 MEMO_CHARS = 64
 #: White space of the vocabulary's pattern (the Unicode property).
@@ -48,6 +47,8 @@ LATER = regex.compile(
 LATER_CAPITALS = regex.compile("[\u1c89\ua7cb\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
 LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Of a chunk: number of ids, ids as text, tokens as text, ids as 32-bit integers.
+Piece = tuple[int, str, str, bytes]
 
 
 def byte_letters() -> list[str]:
@@ -58,6 +59,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in keep else chr(next(shifted)) for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def joined(pieces: list[Piece]) -> np.ndarray:
+    return np.frombuffer(b"".join([p[3] for p in pieces]), np.int32)
+
+
 class PairTree:
     """Minimum tree over the leaves rank * size + position; NONE marks a leaf without a merge."""
 
@@ -116,8 +125,8 @@ class Bpe:
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pretoken = regex.compile(pattern.replace("\\s", SPACE))
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.memo: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         n, rank_of, base, made = len(ids), self.pairs.get, self.base, self.made
@@ -155,8 +164,8 @@ class Bpe:
             out += self.merge(ids if None not in ids else [i for i in ids if i is not None])
         return out
 
-    def known(self, chunk: str) -> tuple[int, str, str, tuple[int, ...]]:
-        """Of a chunk without white space: number of ids, ids as text, tokens as text, ids."""
+    def known(self, chunk: str) -> Piece:
+        """The piece of a chunk without white space."""
         hit = self.old.get(chunk)
         if hit is None:
             if chunk[-1] in ",.!?" and (word := chunk[:-1]).isalpha():
@@ -164,7 +173,7 @@ class Bpe:
                 hit = (first[0] + mark[0], f"{first[1]} {mark[1]}", f"{first[2]} {mark[2]}", first[3] + mark[3])
             else:
                 ids = self.encode_chunk(chunk)
-                hit = (len(ids), " ".join(map(str, ids)), self.decode(ids), tuple(ids))
+                hit = (len(ids), " ".join(map(str, ids)), self.decode(ids), packed(ids))
         if len(chunk) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:  # chunks in use move over, the others go
                 self.old, self.memo = self.memo, {}
@@ -181,7 +190,7 @@ class Bpe:
             return text.split()
         return [c for c in regex.split(f"[{SPACE}]+", text) if c]
 
-    def pieces(self, text: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
+    def pieces(self, text: str) -> list[Piece]:
         known = self.known
         if self.split_added is None or "<|" not in text and not any(t in text for t in self.added):
             return [self.memo.get(c) or known(c) for c in self.chunks(text)]
@@ -189,13 +198,13 @@ class Bpe:
         for part in self.split_added.split(text):
             if part in self.added:
                 i = self.added[part]
-                out.append((1, str(i), self.token_of[i], (i,)))
+                out.append((1, str(i), self.token_of[i], packed([i])))
             else:
                 out += [known(c) for c in self.chunks(part)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.pieces(text or "") for i in p[3]]
+        return joined(self.pieces(text or "")).tolist()
 
     def decode(self, ids) -> str:
         """The vocabulary has no decoder: tokens joined by one space."""
@@ -252,7 +261,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", outputs:
                 if outputs == "digests":
                     first.append(sha(" ".join([p[1] for p in found if p[0]])))
                 else:
-                    first.append(np.fromiter(chain.from_iterable([p[3] for p in found]), np.int32))
+                    first.append(joined(found))
             made = [pa.array(n_tokens, pa.int64()), pa.array(first, pa.string() if outputs == "digests" else pa.list_(pa.int32())), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + made, names=passed + [f.name for f in added])
 

@@ -234,17 +234,20 @@ def similar(wide: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in bits[1:]), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
     near = lambda x, y: apart(x, y) <= int((1 - similarity) * WIDE)
     keyed = wide.select("doc_id", *bits, F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    left = written(keyed.join(cut(sizes).hint("merge"), "key"), "shared")
-    found, crowded = [], left.filter(F.col("n") > MOST)
-    few = left.filter(F.col("n") <= MOST)
-    while not crowded.isEmpty():
-        least = cut(crowded.groupBy("key").agg(F.min(F.struct("doc_id", *bits)).alias("l")))
-        faced = written(crowded.alias("c").join(least.hint("merge"), "key").withColumn("linked", near("c", "l")).filter("c.doc_id > l.doc_id"), "faced")
+    more_than_one = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    left = written(keyed.join(cut(more_than_one).hint("merge"), "key"), "shared")
+    few, found = None, []
+    while True:
+        groups_left = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", *bits)).alias("l")).filter("n > 1"))
+        small = left.join(groups_left.filter(F.col("n") <= MOST).select("key").hint("merge"), "key")
+        few = small if few is None else few.unionByName(small)
+        large = groups_left.filter(F.col("n") > MOST).select("key", "l")
+        if large.isEmpty():
+            break
+        faced = left.alias("c").join(large.hint("merge"), "key").filter("c.doc_id > l.doc_id")
+        faced = written(faced.withColumn("linked", near("c", "l")), "faced")
         found.append(faced.filter("linked").select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b")))
-        rest = faced.filter("not linked").select("doc_id", *bits, "key")
-        left = written(rest.join(cut(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))).hint("merge"), "key"), "left")
-        few, crowded = few.unionByName(left.filter((F.col("n") > 1) & (F.col("n") <= MOST))), left.filter(F.col("n") > MOST)
+        left = faced.filter("not linked").select("key", "doc_id", *bits)
     a, b = few.alias("a"), few.alias("b")
     links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near("a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
     for more in found:

@@ -176,6 +176,8 @@ def hexadecimal(fp: Column) -> Column:
 WIDE, WIDE_SHINGLE, SIMILAR = 256, 5, 0.8
 #: Keys of a text, each of so many least shingles: two texts of Jaccard similarity 0.8 share one with probability 0.998.
 KEYS, KEY_SHINGLES = 12, 4
+#: Texts of a crowded key that all others of it are compared with in one turn.
+LEADERS = 32
 
 
 def wide_hashes(text: str | None) -> np.ndarray:
@@ -225,34 +227,39 @@ def wide_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 def similar(wide: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """Links a < b of distinct doc_id whose wide fingerprints agree in that share of their bits.
 
-    Texts that share a key meet.  Up to MOST of a key are compared pair by pair.  A larger group is
-    compared with its least member: who agrees with it is linked to it and leaves, the others go on
-    as a group with a least member of their own, until each is linked, is such a member or is among
-    MOST that are left.  So no text goes uncompared, and each turn is linear in what is left.
+    Texts that share a key meet.  Up to MOST of a key are compared pair by pair.  Of a larger group up
+    to LEADERS are compared with all of it and leave, as does whoever agrees with one; the others go on
+    as a group with leaders of their own.  So no text goes uncompared, each turn is linear in what is
+    left, and no task holds more of a group than its leaders.
     """
     bits = [f"w{k}" for k in range(WIDE // 64)]
-    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in bits[1:]), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
-    near = lambda x, y: apart(x, y) <= int((1 - similarity) * WIDE)
+    most = int((1 - similarity) * WIDE)
+    near = lambda x, y: sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in bits), F.lit(0)) <= most
+    of = lambda name: lambda w: F.col(f"{name}.{w}")
     keyed = wide.select("doc_id", *bits, F.explode("keys").alias("key"))
     more_than_one = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     left = written(keyed.join(cut(more_than_one).hint("merge"), "key"), "shared")
-    few, found = None, []
-    while True:
-        groups_left = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", *bits)).alias("l")).filter("n > 1"))
-        small = left.join(groups_left.filter(F.col("n") <= MOST).select("key").hint("merge"), "key")
-        few = small if few is None else few.unionByName(small)
-        large = groups_left.filter(F.col("n") > MOST).select("key", "l")
-        if large.isEmpty():
-            break
-        faced = left.alias("c").join(large.hint("merge"), "key").filter("c.doc_id > l.doc_id")
-        faced = written(faced.withColumn("linked", near("c", "l")), "faced")
-        found.append(faced.filter("linked").select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b")))
-        left = faced.filter("not linked").select("key", "doc_id", *bits)
+    few = links = None
+    crowded = True
+    while crowded:
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("slot")
+        slots = left.groupBy("key", slot).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", *bits)).alias("leader"))
+        heads = slots.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("leader").alias("leaders")).filter("n > 1")
+        heads = cut(heads.withColumn("leaders", F.when(F.col("n") > MOST, F.col("leaders"))))
+        crowded = not heads.filter(F.col("n") > MOST).isEmpty()
+        agree = F.filter("leaders", lambda x: (x["doc_id"] != F.col("doc_id")) & near(F.col, lambda w: x[w]))
+        faced = left.join(heads.hint("merge"), "key").select(
+            "key", "doc_id", *bits, (F.col("n") > MOST).alias("large"), F.transform(agree, lambda x: x["doc_id"]).alias("ends"),
+            F.exists("leaders", lambda x: x["doc_id"] == F.col("doc_id")).alias("leads"),
+        )
+        faced = written(faced, "faced")
+        small, large = faced.filter("not large").select("key", "doc_id", *bits), faced.filter("large")
+        ends = large.select("doc_id", F.explode("ends").alias("other")).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+        few, links = (small, ends) if few is None else (few.union(small), links.union(ends))
+        left = large.filter("not leads and size(ends) = 0").select("key", "doc_id", *bits)
     a, b = few.alias("a"), few.alias("b")
-    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near("a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-    for more in found:
-        links = links.union(more)
-    return links.distinct()
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near(of("a"), of("b")))
+    return links.union(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))).distinct()
 
 
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:

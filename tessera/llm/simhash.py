@@ -173,21 +173,28 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-WIDE, WIDE_SHINGLE, SIMILAR = 256, 5, 0.8
+WIDE, WIDE_SHINGLE = 256, 5
+#: Least Jaccard similarity of linked texts, as a fraction.
+SIMILAR = (4, 5)
+#: Bits in which candidates may differ.  Texts of similarity 0.8 differ in 39 (deviation 6) of WIDE; with under FEW
+#: shingles a majority is too often a tie to tell, and the bits are not asked.
+APART, FEW = 64, 32
 #: Keys of a text, each of so many least shingles: two texts of Jaccard similarity 0.8 share one with probability 0.998.
 KEYS, KEY_SHINGLES = 12, 4
-#: Texts of a crowded key that all others of it are compared with in one turn.
-LEADERS = 32
 
 
-def wide_hashes(text: str | None) -> np.ndarray:
-    """Rows of 32 hash bytes, one for each five-word shingle (fewer words: the whole sequence)."""
+def wide_shingles(text: str | None) -> list[bytes]:
+    """The distinct five-word shingles (fewer words: the whole sequence)."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return np.zeros((0, WIDE // 8), np.uint8)
-    shingles = [b" ".join(s) for s in zip(*[words[i:] for i in range(WIDE_SHINGLE)])] or [b" ".join(words)]
+        return []
+    return list(dict.fromkeys(b" ".join(s) for s in zip(*[words[i:] for i in range(WIDE_SHINGLE)]))) or [b" ".join(words)]
+
+
+def wide_hashes(text: str | None) -> np.ndarray:
+    """Rows of 32 hash bytes, one for each distinct shingle."""
     digest = xxhash.xxh3_128_digest
-    joined = b"".join([digest(s, 1) + digest(s, 2) for s in shingles])
+    joined = b"".join([digest(s, 1) + digest(s, 2) for s in wide_shingles(text)])
     return np.frombuffer(joined, np.uint8).reshape(-1, WIDE // 8)
 
 
@@ -206,74 +213,87 @@ def least_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, the wide fingerprint as longs w0 .. w3, and the text's keys."""
+    """doc_id, fp, the wide fingerprint as longs w0 .. w3, n (distinct shingles), and the text's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, wide, keys = [], [], []
+            prints, wide, sizes, keys = [], [], [], []
             for t in batch.column(1):
                 prints.append(fingerprint(t.as_py()))
                 hashes = wide_hashes(t.as_py())
                 wide.append(majority(hashes))
+                sizes.append(len(hashes))
                 keys.append(least_keys(hashes))
             longs = np.frombuffer(b"".join(wide), ">i8").reshape(-1, 4).astype(np.int64)
             lists = pa.array(keys, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], lists], names=["doc_id", "fp", "w0", "w1", "w2", "w3", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], pa.array(sizes, pa.int64()), lists], names=["doc_id", "fp", "w0", "w1", "w2", "w3", "n", "keys"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, keys array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and the XXH3 values of the text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(b"".join([xxhash.xxh3_64_digest(s) for s in wide_shingles(t.as_py())]), ">i8").astype(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+
+
+def candidates(x, y) -> Column:
+    """May the texts be similar?  x and y give columns by name; sizes alone bound the similarity."""
+    least, most = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
+    bits = sum((F.bit_count(x(f"w{k}").bitwiseXOR(y(f"w{k}"))) for k in range(WIDE // 64)), F.lit(0))
+    return (least * SIMILAR[1] >= most * SIMILAR[0]) & ((least < FEW) | (bits <= APART))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs a < b: those whose sets of shingles have a Jaccard similarity of SIMILAR or more."""
+    joined = pairs.distinct()
+    for side in "ab":
+        joined = joined.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}")).hint("merge"), side)
+    both = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - both
+    return written(joined.filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b").distinct(), "links")
+
+
+WIDE_ROW = ["doc_id", "n", *[f"w{k}" for k in range(WIDE // 64)]]
 
 
-def similar(wide: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Links a < b of distinct doc_id whose wide fingerprints agree in that share of their bits.
+def similar(wide: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links a < b of doc_id whose five-word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Texts that share a key meet.  Up to MOST of a key are compared pair by pair.  Of a larger group up
-    to LEADERS are compared with all of it and leave, as does whoever agrees with one; the others go on
-    as a group with leaders of their own.  So no text goes uncompared, each turn is linear in what is
-    left, and no task holds more of a group than its leaders.
+    Texts that share a key meet; what their sizes and wide fingerprints leave is tested on the shingles.
     """
-    bits = [f"w{k}" for k in range(WIDE // 64)]
-    most = int((1 - similarity) * WIDE)
-    near = lambda x, y: sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in bits), F.lit(0)) <= most
-    of = lambda name: lambda w: F.col(f"{name}.{w}")
-    keyed = wide.select("doc_id", *bits, F.explode("keys").alias("key"))
-    more_than_one = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    left = written(keyed.join(cut(more_than_one).hint("merge"), "key"), "shared")
-    few = links = None
-    crowded = True
-    while crowded:
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("slot")
-        slots = left.groupBy("key", slot).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", *bits)).alias("leader"))
-        heads = slots.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("leader").alias("leaders")).filter("n > 1")
-        heads = cut(heads.withColumn("leaders", F.when(F.col("n") > MOST, F.col("leaders"))))
-        crowded = not heads.filter(F.col("n") > MOST).isEmpty()
-        agree = F.filter("leaders", lambda x: (x["doc_id"] != F.col("doc_id")) & near(F.col, lambda w: x[w]))
-        faced = left.join(heads.hint("merge"), "key").select(
-            "key", "doc_id", *bits, (F.col("n") > MOST).alias("large"), F.transform(agree, lambda x: x["doc_id"]).alias("ends"),
-            F.exists("leaders", lambda x: x["doc_id"] == F.col("doc_id")).alias("leads"),
-        )
-        faced = written(faced, "faced")
-        small, large = faced.filter("not large").select("key", "doc_id", *bits), faced.filter("large")
-        ends = large.select("doc_id", F.explode("ends").alias("other")).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-        few, links = (small, ends) if few is None else (few.union(small), links.union(ends))
-        left = large.filter("not leads and size(ends) = 0").select("key", "doc_id", *bits)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near(of("a"), of("b")))
-    return links.union(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))).distinct()
+    keyed = wide.select(*WIDE_ROW, F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    shared = written(keyed.join(cut(sizes).hint("merge"), "key"), "shared")
+    ids = shared.select("doc_id").distinct()
+    sets = written(shingle_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), text), "shingles")
+    a, b = shared.alias("a"), shared.alias("b")
+    near = candidates(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near)
+    return confirmed(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")), sets)
 
 
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one document of each group: that with the smallest id, once if its rows repeat.
 
-    Documents are of one group if their fingerprints link, or if their wide fingerprints of five-word
-    shingles agree in SIMILAR of the bits; of each linked group one goes on to the second test.  Texts of
+    Documents are of one group if their fingerprints link, or if their distinct five-word shingles have a
+    Jaccard similarity of SIMILAR or more; of each linked group one goes on to the second test.  Texts of
     fewer words than a shingle are one shingle.  Rows with a null id stay.
     """
     prints = written(wide_fingerprints(docs, text), "fingerprints")
     found = written(groups(prints.select("doc_id", "fp")).select("doc_id", "component_id"), "groups")
     heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     wide = prints.join(heads.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    more = components(similar(wide)).filter(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
+    more = components(similar(wide, docs, text)).filter(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
     dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").union(more).distinct()
     # what is dropped grows with the corpus, so it is never broadcast, at no size
     kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -100,3 +100,27 @@ def test_wide_fingerprints_find_near_copies(spark, monkeypatch, most):
     rows += [(1000 + k, " ".join([*base[35][:-1], word()])) for k in range(60)]  # a crowd
     kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert min(jaccards) >= 0.8 and set(range(40)) <= kept and len(kept - set(range(40))) <= 2
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_only_similar_texts_are_linked(spark):
+    """Similarities from 0.5 to 0.95 by changed words, and a repeated passage in texts that have little else in common."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(200)]
+        copy = list(base)
+        for k in range(1 + i % 12):
+            copy[5 + 15 * k] = word()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    passage = [word() for _ in range(40)] * 8
+    rows += [(1000 + k, " ".join([*passage, *[word() for _ in range(60)]])) for k in range(2)]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    wanted = {i for i in texts if i % 2 == 0 or jaccard(texts[i - 1], texts[i]) < 0.8}
+    assert kept == wanted and 20 < len(texts) - len(wanted) < 100

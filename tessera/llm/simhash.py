@@ -181,6 +181,8 @@ SIMILAR = (4, 5)
 APART, FEW = 64, 32
 #: Keys of a text, each of so many least shingles: two texts of Jaccard similarity 0.8 share one with probability 0.998.
 KEYS, KEY_SHINGLES = 12, 4
+#: Texts of a crowded key that all others of it are compared with in a turn; turns; parts of what is left then.
+LEADERS, TURNS, SPREAD = 32, 2, 8
 
 
 def wide_shingles(text: str | None) -> list[bytes]:
@@ -213,25 +215,28 @@ def least_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, the wide fingerprint as longs w0 .. w3, n (distinct shingles), and the text's keys."""
+    """doc_id, fp, the wide fingerprint as longs w0 .. w3, n (distinct shingles), the text's keys, and
+    words (the hash of its words in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, wide, sizes, keys = [], [], [], []
+            prints, wide, sizes, keys, words = [], [], [], [], []
             for t in batch.column(1):
                 prints.append(fingerprint(t.as_py()))
                 hashes = wide_hashes(t.as_py())
                 wide.append(majority(hashes))
                 sizes.append(len(hashes))
                 keys.append(least_keys(hashes))
+                words.append(xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8").lower().split())))
             longs = np.frombuffer(b"".join(wide), ">i8").reshape(-1, 4).astype(np.int64)
             lists = pa.array(keys, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], pa.array(sizes, pa.int64()), lists], names=["doc_id", "fp", "w0", "w1", "w2", "w3", "n", "keys"]
+                [batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], pa.array(sizes, pa.int64()), lists, pa.array(words, pa.binary())],
+                names=["doc_id", "fp", "w0", "w1", "w2", "w3", "n", "keys", "words"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, n long, keys array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, n long, keys array<long>, words binary")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -266,34 +271,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 WIDE_ROW = ["doc_id", "n", *[f"w{k}" for k in range(WIDE // 64)]]
 
 
-def similar(wide: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links a < b of doc_id whose five-word shingles have a Jaccard similarity of SIMILAR or more.
+def placed(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys whose texts the links leave in several components, each with its root and, as
+    main, the key's most frequent root; then the same rows without those of main."""
+    roots = components(links).select(F.col("node").alias("doc_id"), "root")
+    rooted = written(large.join(roots.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+    tally = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    several = written(rooted.join(cut(tally.filter("roots > 1").select("key", "main")).hint("merge"), "key"), "several")
+    return several, several.filter("root != main")
+
+
+def crowded_links(large: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """links and those inside crowded keys that join what is not one component yet.
+
+    Once the texts of a key are one component, no further pair of it can change a group.  Up to LEADERS
+    texts of a key are compared with all of it in each of TURNS turns.  After that every text outside
+    the key's main component is compared with all texts of other components, so each pair of a key is
+    compared or in one component.
+    """
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for _ in range(TURNS):
+        several, outside = placed(large, links)
+        slots = outside.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("doc_id", "root", *WIDE_ROW[1:])).alias("leader"))
+        heads = cut(slots.groupBy("key").agg(F.collect_list("leader").alias("leaders")))
+        if heads.isEmpty():
+            return links
+        met = F.filter("leaders", lambda x: (x["root"] != F.col("root")) & candidates(lambda c: x[c], F.col))
+        ends = several.join(heads.hint("merge"), "key").select("doc_id", F.explode(F.transform(met, lambda x: x["doc_id"])).alias("other"))
+        links = links.union(confirmed(ends.select(*pair(F.col("doc_id"), F.col("other"))), sets))
+    several, outside = placed(large, links)
+    a = outside.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).alias("a")
+    b = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("b")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.doc_id") < F.col("b.doc_id"))
+    near = candidates(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.root") != F.col("b.root")) & once & near)
+    return links.union(confirmed(pairs.select(*pair(F.col("a.doc_id"), F.col("b.doc_id"))), sets))
+
+
+def similar(wide: DataFrame, known: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links a < b of doc_id that put texts whose five-word shingles have a Jaccard similarity of SIMILAR
+    or more, and the ends of known links, into one component.
 
     Texts that share a key meet; what their sizes and wide fingerprints leave is tested on the shingles.
+    Keys of up to MOST texts are compared pair by pair, larger ones as crowded_links() says.
     """
     keyed = wide.select(*WIDE_ROW, F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     shared = written(keyed.join(cut(sizes).hint("merge"), "key"), "shared")
     ids = shared.select("doc_id").distinct()
     sets = written(shingle_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), text), "shingles")
-    a, b = shared.alias("a"), shared.alias("b")
+    small, large = shared.filter(F.col("many") <= MOST), shared.filter(F.col("many") > MOST)
+    a, b = small.alias("a"), small.alias("b")
     near = candidates(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near)
-    return confirmed(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")), sets)
+    links = known.union(confirmed(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")), sets))
+    return links if large.isEmpty() else crowded_links(large, links, sets)
 
 
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one document of each group: that with the smallest id, once if its rows repeat.
 
     Documents are of one group if their fingerprints link, or if their distinct five-word shingles have a
-    Jaccard similarity of SIMILAR or more; of each linked group one goes on to the second test.  Texts of
-    fewer words than a shingle are one shingle.  Rows with a null id stay.
+    Jaccard similarity of SIMILAR or more; every distinct text takes the second test.  Texts of fewer words
+    than a shingle are one shingle.  Rows with a null id stay.
     """
     prints = written(wide_fingerprints(docs, text), "fingerprints")
     found = written(groups(prints.select("doc_id", "fp")).select("doc_id", "component_id"), "groups")
-    heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    wide = prints.join(heads.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    more = components(similar(wide, docs, text)).filter(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
+    # the least document of each sequence of words
+    heads = cut(prints.filter("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("doc_id")))
+    wide = written(prints.join(heads.hint("merge"), ["words", "doc_id"], "left_semi").dropDuplicates(["words"]), "wide")
+    named = found.join(heads.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    known = cut(named.filter(F.col("component_id") < F.col("doc_id")).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    more = components(similar(wide, known, docs, text)).filter(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
     dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").union(more).distinct()
     # what is dropped grows with the corpus, so it is never broadcast, at no size
     kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

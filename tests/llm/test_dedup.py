@@ -124,3 +124,44 @@ def test_only_similar_texts_are_linked(spark):
     texts = dict(rows)
     wanted = {i for i in texts if i % 2 == 0 or jaccard(texts[i - 1], texts[i]) < 0.8}
     assert kept == wanted and 20 < len(texts) - len(wanted) < 100
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Copies of a text with edits of their own, so that many are similar to few others, against all pairs."""
+    monkeypatch.setattr(simhash, "MOST", 4)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for family in range(3):
+        line = [[word() for _ in range(150)]]
+        for _ in range(39):
+            copy = list(rng.choice(line))
+            for at in rng.sample(range(150), rng.randrange(1, 6)):
+                copy[at] = word()
+            line.append(copy)
+        rows += [" ".join(w) for w in line]
+    rng.shuffle(rows)
+    edges = [(a, b) for b in range(len(rows)) for a in range(b) if jaccard(rows[a], rows[b]) >= 0.8]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs).collect()}
+    assert kept == {i for i in range(len(rows)) if find(i) == i}
+
+
+def test_members_of_a_fingerprint_group_have_links_of_their_own(spark, monkeypatch):
+    """One fingerprint for two texts: only the second is similar to the third."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, *_: 1 if text.startswith("same") else -2 if text.startswith("third") else 0xF0F0F0)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, "same a b c d e f g h"), (2, " ".join(["same", *words])), (3, " ".join(["third", *words])), (4, "z y x w v u t")]
+    wide = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in wide.collect()) == [1, 4]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from pathlib import PurePosixPath
 
@@ -19,12 +20,20 @@ def streamed(spark: SparkSession, table: DataFrame, d: str, name: str) -> DataFr
     return spark.readStream.schema(table.schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream until its input is used up and return what it wrote."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def finished(stream: DataFrame) -> DataFrame:
+    """Run a stream until its input is used up and return what it wrote: Parquet files in the shared folder,
+    beside the checkpoint that holds the state."""
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a local one only where the session names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or "file://" + tempfile.mkdtemp(prefix="tessera-")).rstrip("/")
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:

@@ -46,3 +46,12 @@ def test_stream_decides_as_the_batch(spark):
     a = catalog.QUERIES["stream_ledger"](spark, DATA).select("user_id", "seq", "allowed").collect()
     b = catalog.QUERIES["ledger_fold"](spark, DATA).select("user_id", "seq", "allowed").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_streams_write_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    from tessera.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "shared_folder", lambda spark: f"file://{tmp_path}")
+    out = catalog.QUERIES["stream_versions"](spark, DATA)
+    assert out.count() > 0 and all("/stream-" in f for f in out.inputFiles())
+    assert list(tmp_path.glob("stream-*/state/offsets/*"))

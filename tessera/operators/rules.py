@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,13 +171,25 @@ def entry_hash(previous: Column, entry: Column) -> Column:
 
 
 def chained(entries: DataFrame, by: str, seq: str = "seq", body: str = "body") -> DataFrame:
-    """Entries of each log with prev_hash and entry_hash.  A chain is serial, so each log is folded in one
-    array; verify() is parallel over all entries."""
-    lists = entries.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(body).alias("body")))).alias("e"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("e", start, lambda acc, x: F.concat(acc, F.array(entry_hash(F.element_at(acc, -1), x["body"]))))
-    rows = lists.select(by, F.posexplode("e").alias("pos", "x"), hashes.alias("h"))
-    return rows.select(by, F.col("x.seq").alias(seq), F.col("x.body").alias(body), F.get("h", F.col("pos")).alias("prev_hash"), F.get("h", F.col("pos") + 1).alias("entry_hash"))
+    """Entries of each log with prev_hash and entry_hash.  A chain is serial, so a log is one task's; of it
+    only the last hash is held, from batch to batch.  verify() is parallel over all entries."""
+    given = entries.select(by, seq, body)
+    names = [*given.columns, "prev_hash", "entry_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, last, started = None, None, False
+        for batch in batches:
+            before, after = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not started or key != log:
+                    log, last, started = key, GENESIS, True
+                before.append(last)
+                last = None if last is None or text is None else hashlib.sha256((last + text).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
+    return given.repartition(by).sortWithinPartitions(by, seq, body).mapInArrow(run, f"{kinds}, prev_hash string, entry_hash string")
 
 
 def verified(chain: DataFrame, by: str, seq: str = "seq", body: str = "body") -> DataFrame:

@@ -184,3 +184,19 @@ def test_citations(spark):
     supplied = spark.createDataFrame([("a", 1), ("c", 1)], "id string, n int")
     got = {r["id"]: (r["no_citation"], r["uncited_sentence"], r["citation_ok"]) for r in explode.citation_checks(answers, supplied, "id").collect()}
     assert got == {"a": (False, True, True), "b": (True, False, False), "c": (False, False, False)}
+
+
+def test_audit_of_a_long_log(spark):
+    """A log of several Arrow batches beside a short one, never one value."""
+    import hashlib
+
+    log = spark.range(25_000).select(F.when(F.col("id") % 5000 == 7, "b").otherwise("a").alias("log"), F.col("id").alias("seq"), F.concat(F.lit("b"), "id").alias("body"))
+    chain = rules.chained(log, "log")
+    assert "collect_list" not in chain._jdf.queryExecution().toString()
+    last = {"a": "0" * 64, "b": "0" * 64}
+    got = {r["seq"]: (r["log"], r["prev_hash"], r["entry_hash"]) for r in chain.collect()}
+    for i in range(25_000):
+        key = "b" if i % 5000 == 7 else "a"
+        entry = hashlib.sha256(f"{last[key]}b{i}".encode()).hexdigest()
+        assert got[i] == (key, last[key], entry)
+        last[key] = entry

@@ -2,8 +2,9 @@
 
 Each pre-token is a row of symbols.  Leaf i of the tree holds (rank of the pair that starts at
 symbol i, i), so the root is the leftmost lowest-rank merge; a merge changes at most three leaves,
-each in logarithmic time, until no pair of the row can be merged.  Pre-tokens never cross white
-space, so whole texts are encoded chunk by chunk with a bounded memo of chunks a worker has seen.
+each in logarithmic time, until no pair of the row can be merged.  The trees of many short words
+are arrays that are updated together; a long word has a tree of its own.  Pre-tokens never cross
+white space, so whole texts are encoded chunk by chunk with a bounded memo of chunks a worker has seen.
 
 Defined cases: null text is the empty text (no ids, decoded ""); strings of the vocabulary's added
 tokens inside a text are those tokens; rows are independent, so ties, repeated rows, empty tables
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 MEMO = 100_000
 #: Longer chunks are encoded each time, to bound the memo's bytes.
 MEMO_CHARS = 64
+#: Letters of texts whose new chunks are encoded together, and the longest words of a forest.
+TOGETHER, FOREST = 2_000_000, 64
 #: White space of the vocabulary's pattern (the Unicode property).
 SPACE = "\t-\r\\x20\x85\xa0  -     　"
 #: Characters that str.split() takes for white space and the pattern doesn't.
@@ -104,6 +107,33 @@ class PairTree:
         return -1 if root == self.NONE else root % self.size
 
 
+class PairForest:
+    """The same tree for many words of at most `size` symbols at once: nodes[k] holds node k of every
+    word's tree, leaf i of a word is node size + i."""
+
+    NONE = 1 << 62
+
+    def __init__(self, ranks: np.ndarray) -> None:
+        count, self.size = ranks.shape
+        self.count = count
+        self.nodes = np.full((2 * self.size, count), self.NONE, np.int64)
+        self.nodes[self.size :] = np.where(ranks < 0, self.NONE, ranks * self.size + np.arange(self.size)).T
+        for k in range(self.size - 1, 0, -1):
+            np.minimum(self.nodes[2 * k], self.nodes[2 * k + 1], out=self.nodes[k])
+        self.flat = self.nodes.ravel()
+
+    def put(self, trees: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> None:
+        self.flat[(places + self.size) * self.count + trees] = np.where(ranks < 0, self.NONE, ranks * self.size + places)
+
+    def mend(self, trees: np.ndarray, places: np.ndarray) -> None:
+        """Recompute the paths from changed leaves to the roots, level by level."""
+        node, flat, count = (places + self.size) >> 1, self.flat, self.count
+        while len(node) and node[0]:  # all leaves are equally deep
+            left = 2 * node * count + trees
+            flat[node * count + trees] = np.minimum(flat[left], flat[left + count])
+            node = node >> 1
+
+
 class Bpe:
     """A vocabulary in the tokenizers library's JSON format, of the kind with word ends."""
 
@@ -119,9 +149,13 @@ class Bpe:
         #: rank of the pair of ids (a, b) at a * base + b; the id that the merge of a rank makes
         self.pairs = {vocab[a] * self.base + vocab[b]: rank for rank, (a, b) in enumerate(model["merges"])}
         self.made = [vocab[a + b] for a, b in model["merges"]]
+        self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*sorted(self.pairs.items()))) if self.pairs else (np.zeros(1, np.int64), np.full(1, -1, np.int64))
+        self.made_ids = np.array(self.made or [0], np.int64)
         letters = byte_letters()
         self.inner = [vocab.get(c) for c in letters]
         self.last = [vocab.get(c + self.suffix) for c in letters]
+        self.inner_ids, self.last_ids = (np.array([-1 if i is None else i for i in x], np.int64) for x in (self.inner, self.last))
+        self.names = {i: str(i) for i in self.token_of}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pretoken = regex.compile(pattern.replace("\\s", SPACE))
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -150,35 +184,107 @@ class Bpe:
                 put(h, rank_of(ids[h] * base + x, -1))
         return [x for x in ids if x >= 0]
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, -1 for pairs that don't merge."""
+        key = left * self.base + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def grown(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the words in the rows of ids (words x size) until no pair is left; which of them stay."""
+        many, size = ids.shape
+        place = np.arange(size)
+        inside = place[None, :-1] < sizes[:, None] - 1
+        ranks = np.full((many, size), -1, np.int64)
+        pair = np.flatnonzero(inside.ravel())
+        at = pair // (size - 1) * size + pair % (size - 1)
+        flat = ids.ravel()
+        ranks.ravel()[at] = self.rank_of(flat[at], flat[at + 1])
+        forest = PairForest(ranks)
+        # links to the next and the last symbol of a word; size and -1 end them
+        after = np.where(place[None, :] + 1 < sizes[:, None], place[None, :] + 1, size).ravel()
+        before = np.tile(place - 1, many)
+        trees = np.flatnonzero(forest.nodes[1] != forest.NONE)
+        while len(trees):
+            root = forest.nodes[1, trees]
+            row, i = trees * size, root % size
+            j, x = after[row + i], self.made_ids[root // size]
+            k, h = after[row + j], before[row + i]
+            flat[row + i], flat[row + j] = x, -1
+            after[row + i] = k
+            right, left = np.flatnonzero(k < size), np.flatnonzero(h >= 0)
+            before[row[right] + k[right]] = i[right]
+            none = np.full(len(trees), -1, np.int64)
+            forest.put(trees, j, none)
+            none[right] = self.rank_of(x[right], flat[row[right] + k[right]])
+            forest.put(trees, i, none)
+            forest.put(trees[left], h[left], self.rank_of(flat[row[left] + h[left]], x[left]))
+            forest.mend(np.concatenate([trees, trees, trees[left]]), np.concatenate([i, j, h[left]]))
+            trees = trees[forest.nodes[1, trees] != forest.NONE]
+        return flat, (flat.reshape(many, size) >= 0) & (place[None, :] < sizes[:, None])
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and where those of each word start and end; words of up
+        to FOREST symbols are merged together."""
+        data = [w.encode("utf-8") for w in words]
+        letters = np.frombuffer(b"".join(data), np.uint8)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        ends = np.cumsum(sizes)
+        symbols = self.inner_ids[letters]
+        symbols[ends - 1] = self.last_ids[letters[ends - 1]]
+        known = symbols >= 0  # bytes outside the vocabulary have no symbol
+        if not known.all():
+            sizes = np.add.reduceat(known.astype(np.int64), ends - sizes)
+            symbols, ends = symbols[known], np.cumsum(sizes)
+        starts = ends - sizes
+        order, counts, kept, low = [np.flatnonzero(sizes == 0)], [np.zeros((sizes == 0).sum(), np.int64)], [], 0
+        for size in (1, 4, 8, 16, 32, FOREST):
+            at = np.flatnonzero((sizes > low) & (sizes <= size))
+            low = size
+            if not len(at):
+                continue
+            order.append(at)
+            if size == 1:
+                kept.append(symbols[starts[at]])
+                counts.append(np.ones(len(at), np.int64))
+            else:
+                place = np.arange(size)
+                rows = np.where(place[None, :] < sizes[at, None], symbols[np.minimum(starts[at, None] + place, len(symbols) - 1)], -1)
+                flat, stay = self.grown(rows, sizes[at])
+                kept.append(flat[stay.ravel()])
+                counts.append(stay.sum(axis=1))
+        for w in np.flatnonzero(sizes > FOREST):
+            order.append(np.array([w]))
+            kept.append(np.array(self.merge(symbols[starts[w] : ends[w]].tolist()), np.int64))
+            counts.append(np.array([len(kept[-1])]))
+        first, last = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        stops = np.cumsum(np.concatenate(counts))
+        last[np.concatenate(order)] = stops
+        first[np.concatenate(order)] = stops - np.concatenate(counts)
+        return np.concatenate(kept) if kept else np.zeros(0, np.int64), first, last
+
     def words(self, chunk: str) -> list[str]:
         if chunk.isascii() or not LATER.search(chunk):
             return self.pretoken.findall(chunk)
         return [chunk[m.start() : m.end()] for m in self.pretoken.finditer(LATER.sub("¦", chunk))]
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for word in [chunk] if chunk.isalpha() else self.words(chunk):
-            data = word.encode("utf-8")
-            ids = [self.inner[b] for b in data]
-            ids[-1] = self.last[data[-1]]
-            out += self.merge(ids if None not in ids else [i for i in ids if i is not None])
-        return out
-
-    def known(self, chunk: str) -> Piece:
-        """The piece of a chunk without white space."""
-        hit = self.old.get(chunk)
-        if hit is None:
-            if chunk[-1] in ",.!?" and (word := chunk[:-1]).isalpha():
-                first, mark = self.memo.get(word) or self.known(word), self.memo.get(chunk[-1]) or self.known(chunk[-1])
-                hit = (first[0] + mark[0], f"{first[1]} {mark[1]}", f"{first[2]} {mark[2]}", first[3] + mark[3])
+    def learn(self, chunks: set[str]) -> dict[str, Piece]:
+        """Pieces of new chunks without white space."""
+        number: dict[str, int] = {}
+        put = number.setdefault
+        spans = [(put(c, len(number)),) if c.isalpha() else [put(w, len(number)) for w in self.words(c)] for c in chunks]
+        ids, first, last = self.encode_words([*number])
+        blob, ids, join = ids.astype(np.int32).tobytes(), ids.tolist(), " ".join
+        names, tokens = [*map(self.names.__getitem__, ids)], [*map(self.token_of.__getitem__, ids)]
+        found = [(b - a, join(names[a:b]), join(tokens[a:b]), blob[4 * a : 4 * b]) for a, b in zip(first.tolist(), last.tolist())]
+        out = {}
+        for chunk, span in zip(chunks, spans):
+            if len(span) == 1:
+                out[chunk] = found[span[0]]
             else:
-                ids = self.encode_chunk(chunk)
-                hit = (len(ids), " ".join(map(str, ids)), self.decode(ids), packed(ids))
-        if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:  # chunks in use move over, the others go
-                self.old, self.memo = self.memo, {}
-            self.memo[chunk] = hit
-        return hit
+                parts = [p for k in span if (p := found[k])[0]]
+                out[chunk] = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]), b"".join([p[3] for p in parts]))
+        return out
 
     def chunks(self, text: str) -> list[str]:
         if not text.isascii():
@@ -190,21 +296,39 @@ class Bpe:
             return text.split()
         return [c for c in regex.split(f"[{SPACE}]+", text) if c]
 
-    def pieces(self, text: str) -> list[Piece]:
-        known = self.known
+    def parts(self, text: str) -> list[str | int]:
+        """Chunks of a text, and the ids of added tokens in it."""
         if self.split_added is None or "<|" not in text and not any(t in text for t in self.added):
-            return [self.memo.get(c) or known(c) for c in self.chunks(text)]
-        out = []
+            return self.chunks(text)
+        out: list[str | int] = []
         for part in self.split_added.split(text):
-            if part in self.added:
-                i = self.added[part]
-                out.append((1, str(i), self.token_of[i], packed([i])))
-            else:
-                out += [known(c) for c in self.chunks(part)]
+            out += [self.added[part]] if part in self.added else self.chunks(part)
         return out
 
+    def pieces(self, texts: list[str]) -> Iterator[list[Piece]]:
+        """The pieces of each text; the new chunks of texts of up to TOGETHER letters are encoded together."""
+        at = 0
+        while at < len(texts):
+            split, letters = [], 0
+            while at < len(texts) and letters < TOGETHER:
+                split.append(self.parts(texts[at]))
+                letters += len(texts[at])
+                at += 1
+            used = set().union(*split)
+            new, old = used.difference(self.memo), self.old
+            if len(self.memo) >= MEMO:  # chunks in use move over, the others go
+                self.old = old = self.memo
+                self.memo, new = {}, used
+            kept = {c: old[c] for c in new if c in old} if old else {}
+            kept |= {i: (1, str(i), self.token_of[i], packed([i])) for i in new.intersection(self.added.values())}
+            kept |= self.learn(new.difference(kept) if kept else new)
+            long = {c: kept.pop(c) for c in [c for c in kept if c not in self.token_of and len(c) > MEMO_CHARS]}
+            self.memo |= kept
+            for parts in split:
+                yield [long[c] if c in long else self.memo[c] for c in parts] if long else [*map(self.memo.__getitem__, parts)]
+
     def encode(self, text: str | None) -> list[int]:
-        return joined(self.pieces(text or "")).tolist()
+        return joined(next(self.pieces([text or ""]))).tolist()
 
     def decode(self, ids) -> str:
         """The vocabulary has no decoder: tokens joined by one space."""
@@ -253,8 +377,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", outputs:
         bpe = loaded(source.value)
         for batch in batches:
             n_tokens, first, second = [], [], []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                found = bpe.pieces(value.as_py() or "")
+            for found in bpe.pieces([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]):
                 n_tokens.append(sum([p[0] for p in found]))
                 decoded = " ".join([p[2] for p in found if p[0]])
                 second.append(decoded if outputs == "tokens" else sha(decoded))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, written
+from tessera.llm.common import cut, erase, written
 
 SHINGLE, SEED = 3, 42
 BITS, RADIUS = 64, 2
@@ -41,7 +41,10 @@ MOST = 64
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, each set in over half of the XXH64 values of the shingles; as a signed long."""
-    words = (text or "").encode("utf-8").lower().split()
+    return fingerprint_of((text or "").encode("utf-8").lower().split(), shingle, seed)
+
+
+def fingerprint_of(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
     if not words:
         return 0
     if len(words) <= shingle:
@@ -129,7 +132,10 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's least node) for every node of the edges a < b."""
+    """node and root (its component's least node) for every node of the edges a < b.
+
+    A hub's neighbours are split by adaptive joins only; each half turn is one job over narrow edges.
+    """
     edges, last = cut(edges), None
     while True:
         for large in (True, False):
@@ -137,7 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
             both = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
             if large:
                 both = both.union(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
             joined = both.join(least, "u")
             moved = joined.filter(F.col("v") > F.col("u")) if large else joined.filter(F.col("v") != F.col("m"))
             stars = moved.select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -181,171 +187,231 @@ SIMILAR = (4, 5)
 APART, FEW = 64, 32
 #: Keys of a text, each of so many least shingles: two texts of Jaccard similarity 0.8 share one with probability 0.998.
 KEYS, KEY_SHINGLES = 12, 4
-#: Texts of a crowded key that all others of it are compared with in a turn; turns; parts of what is left then.
-LEADERS, TURNS, SPREAD = 32, 2, 8
-
-
-def wide_shingles(text: str | None) -> list[bytes]:
-    """The distinct five-word shingles (fewer words: the whole sequence)."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return []
-    return list(dict.fromkeys(b" ".join(s) for s in zip(*[words[i:] for i in range(WIDE_SHINGLE)]))) or [b" ".join(words)]
+#: Leaders of a crowded key; of those that a text may be similar to, so many nearest are tested; parts of the exact rest.
+LEADERS, NEAREST, SPREAD = 32, 2, 4
+_ODD = np.random.default_rng(64).integers(0, 1 << 63, 64 + KEYS * KEY_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_hashes(text: str | None) -> np.ndarray:
-    """Rows of 32 hash bytes, one for each distinct shingle."""
-    digest = xxhash.xxh3_128_digest
-    joined = b"".join([digest(s, 1) + digest(s, 2) for s in wide_shingles(text)])
-    return np.frombuffer(joined, np.uint8).reshape(-1, WIDE // 8)
+def stirred(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers after which every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def least_keys(hashes: np.ndarray) -> np.ndarray:
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The distinct five-word shingles (fewer words: the whole sequence) as sorted 64-bit hashes, made of
+    the XXH3 values of their words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.array([digest(w) for w in words], np.uint64)
+    n = max(1, len(words) - WIDE_SHINGLE + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(WIDE_SHINGLE, len(words))):
+        total += stirred(hashes[k : k + n]) * _ODD[k]
+    return np.unique(stirred(total))
+
+
+def wide_bits(shingles: np.ndarray) -> bytes:
+    """Of WIDE bits those set in over half of the shingles."""
+    counts = np.zeros(WIDE, np.int64)
+    for i in range(0, len(shingles), 65_536):
+        some = shingles[i : i + 65_536]
+        rows = np.stack([stirred(some ^ _ODD[8 + k]) for k in range(WIDE // 64)], axis=1)
+        counts += np.unpackbits(rows.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles)).tobytes()
+
+
+def least_keys(shingles: np.ndarray) -> np.ndarray:
     """KEYS longs: each folds the least values of KEY_SHINGLES orders of the shingles, and its own number."""
-    if not len(hashes):
+    if not len(shingles):
         return np.zeros(0, np.int64)
-    rng = np.random.default_rng(64)
-    odd = rng.integers(0, 1 << 63, KEYS * KEY_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values = np.ascontiguousarray(hashes[:, :8]).view("<u8").astype(np.uint64)
+    odd = _ODD[64:]
     least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 16_384):
-        least = np.minimum(least, (values[i : i + 16_384] * odd).min(axis=0))
+    for i in range(0, len(shingles), 16_384):
+        least = np.minimum(least, (shingles[i : i + 16_384, None] * odd).min(axis=0))
     rows = least.reshape(KEYS, KEY_SHINGLES)
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
 
 
+LONGS = [f"w{k}" for k in range(WIDE // 64)]
+
+
 def wide_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, the wide fingerprint as longs w0 .. w3, n (distinct shingles), the text's keys, and
-    words (the hash of its words in order)."""
+    """Of every row: doc_id, h (hash of the exact text), words (hash of its words in order), fp, the wide
+    fingerprint as longs w0 .. w3, n (distinct shingles) and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, wide, sizes, keys, words = [], [], [], [], []
-            for t in batch.column(1):
-                prints.append(fingerprint(t.as_py()))
-                hashes = wide_hashes(t.as_py())
-                wide.append(majority(hashes))
-                sizes.append(len(hashes))
-                keys.append(least_keys(hashes))
-                words.append(xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8").lower().split())))
-            longs = np.frombuffer(b"".join(wide), ">i8").reshape(-1, 4).astype(np.int64)
-            lists = pa.array(keys, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(4)], pa.array(sizes, pa.int64()), lists, pa.array(words, pa.binary())],
-                names=["doc_id", "fp", "w0", "w1", "w2", "w3", "n", "keys", "words"],
-            )
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                prints, wide, sizes, keys, names = [], [], [], [], []
+                for t in part.column(2):
+                    words = (t.as_py() or "").encode("utf-8").lower().split()
+                    shingles = shingle_set(words)
+                    prints.append(fingerprint_of(words))
+                    wide.append(wide_bits(shingles))
+                    sizes.append(len(shingles))
+                    keys.append(least_keys(shingles))
+                    names.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                longs = np.frombuffer(b"".join(wide), ">i8").reshape(-1, WIDE // 64).astype(np.int64)
+                made = [pa.array(names, pa.binary()), pa.array(prints, pa.int64()), *[pa.array(longs[:, k]) for k in range(WIDE // 64)], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "h", "words", "fp", *LONGS, "n", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long, w0 long, w1 long, w2 long, w3 long, n long, keys array<long>, words binary")
+    longs = ", ".join(f"{w} long" for w in LONGS)
+    given = docs.select("doc_id", row_hash(text).alias("h"), text)
+    return given.mapInArrow(run, f"doc_id {kind}, h long, words binary, fp long, {longs}, n long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the XXH3 values of the text's distinct shingles."""
+def shingle_sets(docs: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+    """words and shingles of the texts (doc_id, h, words), stored.  Shingles are the upper 32 bits of their
+    hashes: two texts of n shingles take some n * n / 2^32 different ones for equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(b"".join([xxhash.xxh3_64_digest(s) for s in wide_shingles(t.as_py())]), ">i8").astype(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique((shingle_set((t.as_py() or "").encode("utf-8").lower().split()) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["words", "shingles"])
+
+    wanted = texts.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "words")
+    given = docs.select("doc_id", row_hash(text).alias("h"), F.col(text).alias("text"))
+    joined = given.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
+    return written(joined.select("words", "text").mapInArrow(run, "words binary, shingles array<int>"), "shingles")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+
+def row_hash(text: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def apart(x, y) -> Column:
+    return sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in LONGS), F.lit(0))
 
 
 def candidates(x, y) -> Column:
     """May the texts be similar?  x and y give columns by name; sizes alone bound the similarity."""
     least, most = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-    bits = sum((F.bit_count(x(f"w{k}").bitwiseXOR(y(f"w{k}"))) for k in range(WIDE // 64)), F.lit(0))
-    return (least * SIMILAR[1] >= most * SIMILAR[0]) & ((least < FEW) | (bits <= APART))
+    return (least * SIMILAR[1] >= most * SIMILAR[0]) & ((least < FEW) | (apart(x, y) <= APART))
+
+
+def alike(one: Column, other: Column) -> Column:
+    """Have two sets of shingles a Jaccard similarity of SIMILAR or more?"""
+    both = F.size(F.array_intersect(one, other))
+    return both * SIMILAR[1] >= (F.size(one) + F.size(other) - both) * SIMILAR[0]
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs a < b: those whose sets of shingles have a Jaccard similarity of SIMILAR or more."""
     joined = pairs.distinct()
     for side in "ab":
-        joined = joined.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}")).hint("merge"), side)
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return written(joined.filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b").distinct(), "links")
+        joined = joined.join(sets.select(F.col("words").alias(side), F.col("shingles").alias(f"s{side}")).hint("merge"), side)
+    return written(joined.filter(alike(F.col("sa"), F.col("sb"))).select("a", "b").distinct(), "links")
 
 
-WIDE_ROW = ["doc_id", "n", *[f"w{k}" for k in range(WIDE // 64)]]
+WIDE_ROW = ["words", "n", *LONGS]
 
 
-def placed(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the keys whose texts the links leave in several components, each with its root and, as
-    main, the key's most frequent root; then the same rows without those of main."""
-    roots = components(links).select(F.col("node").alias("doc_id"), "root")
-    rooted = written(large.join(roots.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
-    tally = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    several = written(rooted.join(cut(tally.filter("roots > 1").select("key", "main")).hint("merge"), "key"), "several")
-    return several, several.filter("root != main")
+def ordered_pair(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def crowded_links(large: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """links and those inside crowded keys that join what is not one component yet.
+def led_pairs(large: DataFrame) -> DataFrame:
+    """Pairs of the texts of crowded keys with the nearest of up to LEADERS texts of the key.  Leaders are
+    the texts with most company over all their keys: that all copies come from keeps the most keys."""
+    company = large.groupBy("words").agg(F.sum("many").alias("company"))
+    ranked = large.join(company.hint("merge"), "words")
+    first = F.max_by(F.struct(*WIDE_ROW), F.struct("company", "words"))
+    slots = ranked.groupBy("key", F.pmod(F.xxhash64("words"), F.lit(LEADERS)).alias("slot")).agg(first.alias("leader"))
+    heads = cut(slots.groupBy("key").agg(F.collect_list("leader").alias("leaders")))
+    met = F.filter("leaders", lambda x: (x["words"] != F.col("words")) & candidates(lambda c: x[c], F.col))
+    near = F.slice(F.sort_array(F.transform(met, lambda x: F.struct(apart(lambda c: x[c], F.col).alias("bits"), x["words"].alias("words")))), 1, NEAREST)
+    ends = large.join(heads.hint("merge"), "key").select(F.col("words").alias("one"), F.explode(F.transform(near, lambda x: x["words"])).alias("other"))
+    return ends.select(*ordered_pair(F.col("one"), F.col("other")))
 
-    Once the texts of a key are one component, no further pair of it can change a group.  Up to LEADERS
-    texts of a key are compared with all of it in each of TURNS turns.  After that every text outside
-    the key's main component is compared with all texts of other components, so each pair of a key is
-    compared or in one component.
+
+def rest_links(large: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside crowded keys whose texts the links leave in several components.
+
+    Once the texts of a key are one component, no further pair of it can change a group.  Every text
+    outside the key's most frequent component is compared with all texts of other components, in blocks
+    of SPREAD parts, so each pair of a key is compared or in one component.  The shingles are compared
+    in the join itself, which makes no row of a pair that isn't similar.
     """
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    for _ in range(TURNS):
-        several, outside = placed(large, links)
-        slots = outside.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("doc_id", "root", *WIDE_ROW[1:])).alias("leader"))
-        heads = cut(slots.groupBy("key").agg(F.collect_list("leader").alias("leaders")))
-        if heads.isEmpty():
-            return links
-        met = F.filter("leaders", lambda x: (x["root"] != F.col("root")) & candidates(lambda c: x[c], F.col))
-        ends = several.join(heads.hint("merge"), "key").select("doc_id", F.explode(F.transform(met, lambda x: x["doc_id"])).alias("other"))
-        links = links.union(confirmed(ends.select(*pair(F.col("doc_id"), F.col("other"))), sets))
-    several, outside = placed(large, links)
-    a = outside.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).alias("a")
-    b = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("b")
-    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.doc_id") < F.col("b.doc_id"))
-    near = candidates(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    roots = components(links).select(F.col("node").alias("words"), "root")
+    rooted = written(large.join(roots.hint("merge"), "words", "left").withColumn("root", F.coalesce("root", "words")), "rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    tally = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"))
+    several = written(rooted.join(cut(tally.filter("roots > 1").select("key", "main")).hint("merge"), "key"), "several")
+    held = several.select("key", "root", "main", *WIDE_ROW).join(sets.hint("merge"), "words")
+    a = held.filter("root != main").withColumn("salt", F.pmod(F.xxhash64("words"), F.lit(SPREAD))).alias("a")
+    b = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).alias("b")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.words") < F.col("b.words"))
+    near = candidates(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")) & alike(F.col("a.shingles"), F.col("b.shingles"))
     pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.root") != F.col("b.root")) & once & near)
-    return links.union(confirmed(pairs.select(*pair(F.col("a.doc_id"), F.col("b.doc_id"))), sets))
+    found = cut(pairs.select(*ordered_pair(F.col("a.words"), F.col("b.words"))).distinct())
+    erase(rooted, several)
+    return found
 
 
-def similar(wide: DataFrame, known: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links a < b of doc_id that put texts whose five-word shingles have a Jaccard similarity of SIMILAR
-    or more, and the ends of known links, into one component.
+def similar(texts: DataFrame, known: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links a < b of words that put texts whose five-word shingles have a Jaccard similarity of SIMILAR or
+    more, and the ends of known links, into one component.
 
     Texts that share a key meet; what their sizes and wide fingerprints leave is tested on the shingles.
-    Keys of up to MOST texts are compared pair by pair, larger ones as crowded_links() says.
+    Keys of up to MOST texts are compared pair by pair; in larger ones texts first meet leaders, and what
+    that leaves apart is compared in blocks.
     """
-    keyed = wide.select(*WIDE_ROW, F.explode("keys").alias("key"))
+    keyed = texts.select(*WIDE_ROW, F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     shared = written(keyed.join(cut(sizes).hint("merge"), "key"), "shared")
-    ids = shared.select("doc_id").distinct()
-    sets = written(shingle_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), text), "shingles")
     small, large = shared.filter(F.col("many") <= MOST), shared.filter(F.col("many") > MOST)
     a, b = small.alias("a"), small.alias("b")
     near = candidates(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near)
-    links = known.union(confirmed(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")), sets))
-    return links if large.isEmpty() else crowded_links(large, links, sets)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.words") < F.col("b.words")) & near)
+    pairs = cut(pairs.select(F.col("a.words").alias("a"), F.col("b.words").alias("b")).union(led_pairs(large)).distinct())
+    ends = pairs.select(F.col("a").alias("words")).union(pairs.select("b")).union(large.select("words")).distinct()
+    sets = shingle_sets(docs, texts.select("doc_id", "h", "words").join(ends.hint("merge"), "words", "left_semi"), text)
+    links = known.union(confirmed(pairs, sets))
+    if not large.isEmpty():
+        links = links.union(rest_links(large, links, sets))
+    links = cut(links)
+    erase(shared, sets)
+    return links
+
+
+def print_links(texts: DataFrame) -> DataFrame:
+    """Links a < b of words whose 64-bit fingerprints are equal or within RADIUS bits."""
+    named = cut(texts.groupBy("fp").agg(F.min("words").alias("least"), F.count(F.lit(1)).alias("many")))
+    near = links(named.select("fp"))
+    for side in "ab":
+        near = near.join(named.select(F.col("fp").alias(side), F.col("least").alias(f"least_{side}")), side)
+    equal = texts.select("fp", "words").join(named.filter("many > 1"), "fp").filter("words != least")
+    return near.select(*ordered_pair(F.col("least_a"), F.col("least_b"))).union(equal.select("least", "words"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document of each group: that with the smallest id, once if its rows repeat.
+    """docs with one document of each group: that with the smallest id (null ids last), once if its rows
+    repeat.  Rows of one id with different texts are different documents.
 
-    Documents are of one group if their fingerprints link, or if their distinct five-word shingles have a
-    Jaccard similarity of SIMILAR or more; every distinct text takes the second test.  Texts of fewer words
-    than a shingle are one shingle.  Rows with a null id stay.
+    Documents are of one group if their words are equal, their fingerprints link, or their distinct
+    five-word shingles have a Jaccard similarity of SIMILAR or more; every distinct text takes that test.
+    Texts of fewer words than a shingle are one shingle.
     """
     prints = written(wide_fingerprints(docs, text), "fingerprints")
-    found = written(groups(prints.select("doc_id", "fp")).select("doc_id", "component_id"), "groups")
-    # the least document of each sequence of words
-    heads = cut(prints.filter("doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("doc_id")))
-    wide = written(prints.join(heads.hint("merge"), ["words", "doc_id"], "left_semi").dropDuplicates(["words"]), "wide")
-    named = found.join(heads.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    known = cut(named.filter(F.col("component_id") < F.col("doc_id")).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-    more = components(similar(wide, known, docs, text)).filter(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").union(more).distinct()
+    texts = written(prints.dropDuplicates(["words"]), "texts")
+    roots = components(similar(texts, cut(print_links(texts)), docs, text))
+    rows = prints.groupBy("doc_id", "h", "words").agg(F.count(F.lit(1)).alias("many"))
+    grouped = written(rows.join(roots.withColumnsRenamed({"node": "words"}).hint("merge"), "words", "left").withColumn("root", F.coalesce("root", "words")), "groups")
+    erase(prints, texts)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "words", "h")
+    first = grouped.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("root", "first")
+    dropped = grouped.join(first.hint("merge"), "root").filter(order != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     # what is dropped grows with the corpus, so it is never broadcast, at no size
-    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (row_hash(text) == F.col("__h"))
+    kept = docs.join(dropped.hint("merge"), same, "left_anti").select(*docs.columns)
+    if grouped.filter("many > 1").isEmpty():
         return kept
-    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.filter(F.col("doc_id").isNull()))
+    return kept.withColumn("__h", row_hash(text)).dropDuplicates(["doc_id", "__h"]).drop("__h")

@@ -78,7 +78,14 @@ def test_rows(spark):
     out = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.simhash_groups(docs.select("doc_id", "text")).collect())
     assert out == [(0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 3), (7, 7)]
     kept = simhash.near_dedup(docs).collect()
-    assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 3, 7] and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
+    assert sorted(r["doc_id"] or 0 for r in kept) == [1, 3, 7] and kept[0].asDict().keys() == {"doc_id", "text", "fp"}
+    # different texts of one id, and of none, are different documents; a null id stays if no other row has its text
+    more = [(1, "quite another text", "x"), (None, "one of its own", "x"), (None, "and a second one", "x"), (None, "one of its own", "x")]
+    kept = simhash.near_dedup(docs.union(spark.createDataFrame(more, docs.schema))).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept) == [(0, "and a"), (0, "one o"), (1, "a b c"), (1, "quite"), (3, ""), (7, "q r s")]
+    assert simhash.near_dedup(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "fp", "1 as h", "2 as words", "3 as root", "4 as n", "5 as keys")
+    assert simhash.near_dedup(clashing).columns == clashing.columns and simhash.near_dedup(clashing).count() == 3
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
@@ -160,7 +167,7 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
 
 def test_members_of_a_fingerprint_group_have_links_of_their_own(spark, monkeypatch):
     """One fingerprint for two texts: only the second is similar to the third."""
-    monkeypatch.setattr(simhash, "fingerprint", lambda text, *_: 1 if text.startswith("same") else -2 if text.startswith("third") else 0xF0F0F0)
+    monkeypatch.setattr(simhash, "fingerprint_of", lambda words, *_: {b"same": 1, b"third": -2}.get(words[0], 0xF0F0F0))
     words = [f"w{i}" for i in range(200)]
     rows = [(1, "same a b c d e f g h"), (2, " ".join(["same", *words])), (3, " ".join(["third", *words])), (4, "z y x w v u t")]
     wide = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))

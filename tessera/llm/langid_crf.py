@@ -8,13 +8,14 @@ switches are known.  Forward-backward over every word of a text gives each word'
 distribution; the text's language is that with the largest mean over its words with letters, and
 that mean is the score.
 
-The fit uses a bounded sample: about PER_LANGUAGE documents of each of at most LANGUAGES languages,
-chosen by a hash of the id.  Prediction reads whole texts.
+The fit uses a bounded sample: of every language PER_LANGUAGE documents, or an equal part of SAMPLE
+where there are many languages, those with the least hash of id and text; of a text at most STRETCHES
+stretches of words reach the driver.  Prediction reads whole texts.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without any training row
-everything is `und`; equal means are decided by the language's code point order; rows are
-independent, so repeated rows, empty tables and further columns need no rule (clashing columns are
-replaced).
+everything is `und`; equal means are decided by the language's code point order; rows with a null id
+are learned from and predicted like others, and aren't held out; rows are independent, so repeated
+rows, empty tables and further columns need no rule (clashing columns are replaced).
 """
 
 from __future__ import annotations
@@ -27,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PER_LANGUAGE, LANGUAGES = 250, 100
+from tessera.llm.common import cut, join_group_values
+
+#: Training documents of a language, and of all languages; stretches of a long text and their words.
+PER_LANGUAGE, SAMPLE, STRETCHES, WORDS = 250, 25_000, 16, 24
 LEXICON = 4000
 AFFIX_BINS, GRAM_BINS = 1 << 13, 1 << 15
 SEQUENCES, LENGTH, STRETCH = 1500, 60, 12
 STEPS, RATE, DECAY = 45, 0.12, 1e-3
 UNDETERMINED = "und"
-#: Words of texts whose chains are walked together.
-TOGETHER = 1_000_000
+#: Words times languages of texts whose chains are walked together.
+TOGETHER = 4_000_000
 LETTER = re.compile(r"[^\W\d_]")
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -139,10 +143,10 @@ def scaled(log: np.ndarray) -> np.ndarray:
     return np.exp(np.maximum(log - log.max(axis=-1, keepdims=True), -40))
 
 
-def walk(crf: Crf, emission: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, each=None) -> np.ndarray:
+def walk(crf: Crf, emission: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, each=None, labels: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward over texts in order of falling size: word i of text k is ids[starts[k] + i],
     emission holds its potentials.  Returns the sum of the marginals of each text; `each` is told
-    the marginals of every step."""
+    the marginals of every step, labels are filled with the likeliest language of every word."""
     move, n = crf.moves(), len(crf.languages)
     first = scaled(crf.start)
     longest = int(sizes[0]) if len(sizes) else 0
@@ -166,6 +170,8 @@ def walk(crf: Crf, emission: np.ndarray, ids: np.ndarray, starts: np.ndarray, si
         marginal = forward[at] * b
         marginal /= marginal.sum(axis=1, keepdims=True)
         word = ids[at]
+        if labels is not None:
+            labels[at] = np.where(word == 0, -1, marginal.argmax(axis=1))
         if each is not None:
             each(t, at, marginal, forward, b)
         else:
@@ -176,18 +182,18 @@ def walk(crf: Crf, emission: np.ndarray, ids: np.ndarray, starts: np.ndarray, si
     return total
 
 
-def trained(rows: list[tuple[str, str]], seed: int = 7) -> Crf | None:
-    """Fit on (text, language) rows in a fixed order."""
+def trained(rows: list[tuple[list[str], str]], seed: int = 7) -> Crf | None:
+    """Fit on (stretches, language) rows in a fixed order; a stretch holds words of a text."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
     of = {lang: [] for lang in languages}
     counts: Counter[str] = Counter()
-    for text, lang in rows:
-        words = [w for w in map(cleaned, (text or "").lower().split()) if w]
-        counts.update(set(words))
-        if words:
-            of[lang].append(words)
+    for stretches, lang in rows:
+        found = [[w for w in map(cleaned, stretch.lower().split()) if w] for stretch in stretches]
+        counts.update({w for words in found for w in words})
+        if any(found):
+            of[lang].append([words for words in found if words])
     languages = [lang for lang in languages if of[lang]]
     if not languages:
         return None
@@ -200,7 +206,8 @@ def trained(rows: list[tuple[str, str]], seed: int = 7) -> Crf | None:
         at = 0
         while at < LENGTH:
             lang = int(rng.integers(len(languages)))
-            words = of[languages[lang]][int(rng.integers(len(of[languages[lang]])))]
+            stretches = of[languages[lang]][int(rng.integers(len(of[languages[lang]])))]
+            words = stretches[int(rng.integers(len(stretches))) if len(stretches) > 1 else 0]
             n = min(int(rng.geometric(1 / STRETCH)), LENGTH - at)
             i = int(rng.integers(max(1, len(words) - n + 1)))
             some = words[i : i + n]
@@ -254,17 +261,26 @@ def fit(crf: Crf, words: list[str], ids: np.ndarray, labels: np.ndarray) -> None
             w += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def predicted(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Languages and scores of whole texts."""
+def spans(labels: np.ndarray, languages: list[str]) -> list[dict]:
+    """Runs of words of one language; words without a letter belong to the run before them."""
+    place = np.flatnonzero(labels >= 0)
+    heads = np.flatnonzero(np.r_[True, np.diff(labels[place]) != 0]) if len(place) else place
+    begins = place[heads].tolist()
+    return [{"lang": languages[labels[b]], "first": b, "last": e - 1} for b, e in zip(begins, [*begins[1:], len(labels)])]
+
+
+def predicted(crf: Crf | None, texts: list[str | None], runs: list | None = None) -> tuple[list[str], list[float]]:
+    """Languages and scores of whole texts; runs, a list of as many items, is filled with their spans."""
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if crf is None:
         return names, scores
+    together = max(1, TOGETHER // len(crf.languages))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))
     at = 0
     while at < len(order):
         number: dict[str, int] = {}
         lists, chosen, used = [], [], 0
-        while at < len(order) and (not chosen or used < TOGETHER):
+        while at < len(order) and (not chosen or used < together):
             words = (texts[order[at]] or "").lower().split()
             lists.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
             chosen.append(order[at])
@@ -277,7 +293,11 @@ def predicted(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], list
         by_size = np.argsort(-sizes, kind="stable")
         ids = of_token[np.concatenate(lists)] if used else np.empty(0, np.int64)
         starts = np.cumsum(np.r_[0, sizes[:-1]])[by_size]
-        total = walk(crf, emission, ids, starts, sizes[by_size])
+        labels = np.empty(len(ids), np.int64) if runs is not None else None
+        total = walk(crf, emission, ids, starts, sizes[by_size], labels=labels)
+        if runs is not None:
+            for k, start in zip(by_size, starts):
+                runs[chosen[k]] = spans(labels[start : start + sizes[k]], crf.languages)
         for k, row in zip(by_size, total):
             if (whole := row.sum()) > 0:
                 best = int(row.argmax())
@@ -289,17 +309,29 @@ def remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def training_rows(docs: DataFrame, usable, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample of (text, language) from the usable rows: about PER_LANGUAGE of each of the
-    LANGUAGES most frequent languages, twice that at most over all."""
+def stretches(text: Column) -> tuple[Column, Column]:
+    """The words of a text; and, of those as __words: all in one stretch, of a long text STRETCHES stretches
+    of WORDS words spread over it."""
+    words = F.split(F.trim(text), "\\s+")
+    step = (F.size("__words") - WORDS) / STRETCHES
+    some = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.array_join(F.slice("__words", F.floor(k * step).cast("int") + 1, F.lit(WORDS)), " "))
+    return words, F.when(F.size("__words") <= STRETCHES * WORDS, F.array(F.array_join("__words", " "))).otherwise(some)
+
+
+def training_rows(docs: DataFrame, usable, text: str = "text", lang: str = "lang") -> list[tuple[list[str], str]]:
+    """A bounded sample of (stretches of words, language): of every language of the usable rows those with
+    the least hash.  Rates leave about twice the wanted rows, so no language is ordered whole."""
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES)
-    rates = F.broadcast(counts.select(F.col(lang).alias("__lang"), (F.lit(PER_LANGUAGE) / F.col("n")).alias("__rate")))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), share.alias("__share"))
-    some = some.join(rates, F.col("lang") == F.col("__lang")).filter("__share < __rate")
-    found = some.select("doc_id", "text", "lang").limit(2 * PER_LANGUAGE * LANGUAGES).collect()
-    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    counts = cut(rows.groupBy(lang).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(lang, "__lang"))
+    wanted = max(1, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("__lang")).withColumn("__share", share)
+    few = join_group_values(some, counts, ["__lang"], F.col("__share")).filter(F.col("__share") * F.col("__n") < 2 * wanted + 20)
+    words, chosen = stretches(F.col("text"))
+    made = few.withColumn("__words", words).select("__lang", "__share", "doc_id", chosen.alias("stretches"))
+    first = F.row_number().over(Window.partitionBy("__lang").orderBy("__share", "doc_id"))
+    found = made.withColumn("__r", first).filter(F.col("__r") <= wanted).select("__lang", "__r", "stretches").collect()  # SAMPLE short rows
+    return [(r["stretches"], r["__lang"]) for r in sorted(found, key=lambda r: (r["__lang"], r["__r"]))]
 
 
 _LOADED: dict[str, Crf] = {}
@@ -315,25 +347,33 @@ def loaded(data: bytes) -> Crf | None:
     return _LOADED[key]
 
 
-def identify(docs: DataFrame, crf: Crf | None, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to all rows."""
+SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+
+
+def identify(docs: DataFrame, crf: Crf | None, text: str = "text", with_spans: bool = False) -> DataFrame:
+    """Add lang_pred and score to all rows, and spans if asked: runs of words (numbered from 0) of one language."""
     model = docs.sparkSession.sparkContext.broadcast(crf.save() if crf else b"")
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("spans", SPANS)] * with_spans
+    names_added = [f.name for f in added]
+    keep = [f for f in docs.schema.fields if f.name not in names_added]
     passed = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = loaded(model.value)
         for batch in batches:
-            names, scores = predicted(fitted, batch.column(batch.schema.get_field_index(text)).to_pylist())
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            runs = [[] for _ in texts] if with_spans else None
+            names, scores = predicted(fitted, texts, runs)
             made = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + made, names=[*passed, "lang_pred", "score"])
+            if with_spans:
+                made.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + made, names=[*passed, *names_added])
 
     return docs.mapInArrow(run, T.StructType(keep + added))
 
 
-def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
-    """docs with held_out, lang_pred and score; learned from the rows that aren't held out."""
+def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", folds: int = 4, held: int = 2, with_spans: bool = False) -> DataFrame:
+    """docs with held_out, lang_pred and score (and spans); learned from the rows that aren't held out."""
     held_out = F.coalesce(remainder("doc_id", folds) == held, F.lit(False))
     crf = trained(training_rows(docs, ~held_out, text, lang))
-    return identify(docs.withColumn("held_out", held_out), crf, text)
+    return identify(docs.withColumn("held_out", held_out), crf, text, with_spans)

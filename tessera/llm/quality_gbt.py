@@ -4,11 +4,12 @@ Every whole text gives one vector of statistics (letters, words, lines, repetiti
 grown on binned statistics of a bounded sample of labelled rows and flattened into arrays of
 complete binary trees, which numpy walks for a batch of rows at once, one level at a time.
 
-The sample is at most SAMPLE labelled rows, those with the least hash of the id.
+The sample is at most SAMPLE pairs of id and label, those with the least hash of the id; only their
+vectors reach the driver.
 
 Defined cases: null and empty texts have the vector of zeros and are scored as any other; without
-labels of both kinds the score is the labelled share of 1 (0.5 without labels); a document labelled
-several times counts several times; rows are independent, so repeated rows, empty tables and further
+labels of both kinds the score is the labelled share of 1 (0.5 without labels); repeated labels and
+repeated rows of one id count once in the fit, an id with both labels once for each; rows are independent, so repeated rows, empty tables and further
 columns need no rule (clashing columns are replaced).
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import io
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ STATISTICS = (
     "exclamations other_ascii wide letters_entropy same_as_last distinct_pairs repeated_lines top_word short_words capital_words distinct_eights"
 ).split()
 ROW = len(STATISTICS)
+WINDOW_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def byte_classes() -> np.ndarray:
@@ -61,17 +62,22 @@ def statistics(text: str | None) -> list[float]:
     if not n:
         return [np.log1p(len(data)), *[0.0] * 7, upper, digit, space, mark + symbol + stop, symbol, stop, mark, other, wide, float(-(shares * np.log2(shares)).sum()), *[0.0] * 7]
     sizes = np.fromiter(map(len, words), np.int64, n)
-    kinds = len(set(words))
-    same = sum(map(eq, words, words[1:]))
-    pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
-    eights = len(set(zip(*[words[i:] for i in range(8)]))) / max(1, n - 7) if n >= 8 else 1.0
-    top: dict[str, int] = {}
-    for w in words:
-        top[w] = top.get(w, 0) + 1
+    number: dict[str, int] = {}
+    put = number.setdefault
+    ids = np.array([put(w, len(number)) for w in words], np.uint64)
+    kinds, top = len(number), int(np.bincount(ids.astype(np.int64)).max())
+    same = int((ids[1:] == ids[:-1]).sum())
+    pairs = len(np.unique(ids[:-1] << np.uint64(32) | ids[1:])) / max(1, n - 1)
+    eights = 1.0
+    if n >= 8:  # windows of eight words by a 64-bit hash of their numbers
+        windows = np.zeros(n - 7, np.uint64)
+        for k, odd in enumerate(WINDOW_FACTORS):
+            windows += ids[k : n - 7 + k] * odd
+        eights = len(np.unique(windows)) / (n - 7)
     return [
         np.log1p(len(data)), np.log1p(n), float(sizes.mean()), float(sizes.std()), float(np.log1p(sizes.max())), np.log1p(len(lines)), n / max(1, len(lines)), kinds / n,
         upper, digit, space, mark + symbol + stop, symbol, stop, mark, other, wide, float(-(shares * np.log2(shares)).sum()),
-        same / n, pairs, 1 - len(set(lines)) / max(1, len(lines)), max(top.values()) / n, float((sizes <= 2).mean()), sum(map(str.istitle, words)) / n, eights,
+        same / n, pairs, 1 - len(set(lines)) / max(1, len(lines)), top / n, float((sizes <= 2).mean()), sum(map(str.istitle, words)) / n, eights,
     ]
 
 
@@ -170,11 +176,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most SAMPLE labelled rows that are usable."""
-    known = labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label"))
+    """Statistics and labels of at most SAMPLE labelled documents that are usable, one row an id and label;
+    of rows with one id but different texts that with the least hash."""
+    known = labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("__label")).distinct()
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "__label").limit(SAMPLE)
     joined = docs.select("doc_id", text).join(F.broadcast(some), "doc_id")  # at most SAMPLE rows of two numbers
-    found = with_statistics(joined, text).collect()
+    vectors = with_statistics(joined.withColumn("__hash", F.coalesce(F.xxhash64(text), F.lit(0))), text)
+    found = vectors.groupBy("doc_id", "__label").agg(F.min(F.struct("__hash", "statistics"))["statistics"].alias("statistics")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["__label"]))
     return np.array([r["statistics"] for r in found]).reshape(-1, ROW), np.array([r["__label"] for r in found], float)
 

@@ -1,10 +1,12 @@
 """Quality rules: base counts of every text, then robust multivariate outliers.
 
 Everything is DataFrame functions.  Per language and source the minimum-covariance-determinant
-estimate of location and scatter is found by concentration steps from a median/MAD start: each
-step bins the rows by their distance, sums moments by group and bin (pre-aggregated before the
-shuffle), keeps the nearest bins that hold half of the group and takes mean and covariance of
-those.  Rows whose Mahalanobis distance passes a chi-square limit are rejected.
+estimate of location and scatter is found by concentration steps from several starts: medians with
+MADs, and SUBSETS elemental sets of DIMS + 1 rows chosen by hash.  Each step bins the rows by their
+distance, sums moments by group, start and bin (pre-aggregated before the shuffle), keeps the nearest
+half of the group (of the bin at the edge a part, by weight) and takes mean and covariance of those.
+After FIRST_STEPS the start of least determinant stays in each group and is concentrated until no
+determinant falls any more.  Rows whose Mahalanobis distance passes a chi-square limit are rejected.
 
 Sums are of integers (statistics in 1/1024), so results don't depend on the order of rows.
 
@@ -31,7 +33,8 @@ SYMBOLS = "[#*$%&|<>]+"
 MIN_GROUP = 30
 #: Chi-square limit with 4 degrees of freedom for a tail of 1e-5.
 LIMIT = 28.47
-STEPS = 4
+#: Elemental starts, steps of every start, most steps of the best one (it stops when no determinant falls).
+SUBSETS, FIRST_STEPS, MOST_STEPS = 3, 2, 12
 SCALE = 1024
 #: Least standard deviation of each transformed statistic: without it the many texts that have no
 #: symbol at all would make one symbol an outlier.
@@ -127,7 +130,7 @@ def consistency() -> float:
 
 
 def inverted(means: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and inverse covariance from __n, __s* and __q* by Cholesky factors, all as columns."""
+    """Mean, inverse covariance and log determinant (__det) from __n, __s* and __q* by Cholesky factors."""
     n = F.col("__n").cast("double")
     c, keep = consistency(), [*keys, *[f"__m{i}" for i in range(DIMS)]]
     out = means.withColumns({f"__m{i}": F.col(f"__s{i}") / n for i in range(DIMS)})
@@ -146,27 +149,77 @@ def inverted(means: DataFrame, keys: list[str]) -> DataFrame:
         for i in range(j + 1, DIMS):
             out = out.withColumn(f"__i{i}{j}", -total([F.col(f"__l{i}{k}") * F.col(f"__i{k}{j}") for k in range(j, i)]) / F.col(f"__l{i}{i}"))
     inverse = [total([F.col(f"__i{k}{i}") * F.col(f"__i{k}{j}") for k in range(i, DIMS)]).alias(f"__v{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    return out.select(*keep, *inverse)
+    det = total([2 * F.log(F.col(f"__l{j}{j}")) for j in range(DIMS)]).alias("__det")
+    return out.select(*keep, *inverse, det)
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
-    """One concentration step: the estimate of the rows nearest to the last one."""
+def moments(weight: Column | None = None) -> dict[str, Column]:
+    """Sums of a group: __n, __s* and __q*; of rows, or of weighted sums of the same names."""
     ys = [F.col(f"__y{i}") for i in range(DIMS)]
-    near = join_group_values(rows, estimate, keys, F.col("__id")).withColumn("__bin", F.floor(64 * F.log1p(distance())).cast("int"))
-    sums = {"__n": F.count(F.lit(1))} | {f"__s{i}": F.sum(ys[i]) for i in range(DIMS)} | {f"__q{i}{j}": F.sum(ys[i] * ys[j]) for i in range(DIMS) for j in range(i + 1)}
-    binned = near.groupBy(*keys, "__bin").agg(*[v.alias(k) for k, v in sums.items()])
-    by = Window.partitionBy(*keys)
+    if weight is None:
+        parts = {"__n": F.lit(1)} | {f"__s{i}": ys[i] for i in range(DIMS)} | {f"__q{i}{j}": ys[i] * ys[j] for i in range(DIMS) for j in range(i + 1)}
+    else:
+        parts = {k: F.col(k) * weight for k in ["__n", *[f"__s{i}" for i in range(DIMS)], *[f"__q{i}{j}" for i in range(DIMS) for j in range(i + 1)]]}
+    return {k: F.sum(v) for k, v in parts.items()}
+
+
+def elemental_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and start 1 .. SUBSETS: the estimate of the DIMS + 1 rows with the least hashes."""
+    sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")))
+    some = join_group_values(rows, sizes, keys, F.col("__id"))
+    starts = F.array(*[F.struct(F.lit(k).alias("__start"), F.xxhash64("__id", F.lit(k)).alias("__hash")) for k in range(1, SUBSETS + 1)])
+    hashed = some.select(*keys, "__id", "__size", *[f"__y{i}" for i in range(DIMS)], F.inline(starts))
+    share = F.pmod("__hash", F.lit(1 << 40)) / float(1 << 40)
+    few = hashed.filter(share * F.col("__size") < 8 * (DIMS + 1))  # a few rows of a group, whatever its size
+    order = Window.partitionBy(*keys, "__start").orderBy("__hash", *[f"__y{i}" for i in range(DIMS)])
+    chosen = few.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= DIMS + 1)
+    sums = chosen.groupBy(*keys, "__start").agg(*[v.alias(k) for k, v in moments().items()])
+    return inverted(sums, [*keys, "__start"])
+
+
+def concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+    """One concentration step of every group and start: the estimate of the rows nearest to the last one."""
+    each = [*keys, "__start"]
+    values = [c for c in estimate.columns if c not in each]
+    # the estimates of a group's starts lie in one row, so rows are joined once
+    starts = estimate.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__start", *values))).alias("__starts"))
+    joined = join_group_values(rows, starts, keys, F.col("__id")).select(*rows.columns, F.inline("__starts"))
+    near = joined.withColumn("__bin", F.floor(64 * F.log1p(distance())).cast("int"))
+    binned = near.groupBy(*each, "__bin").agg(*[v.alias(k) for k, v in moments().items()])
+    by = Window.partitionBy(*each)
     upto = by.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = binned.withColumns({"__upto": F.sum("__n").over(upto), "__all": F.sum("__n").over(by)})
-    half = ranked.filter(F.col("__upto") - F.col("__n") < F.floor((F.col("__all") + DIMS + 2) / 2))
-    return cut(inverted(half.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in sums]), keys))
+    half = F.floor((F.col("__all") + DIMS + 2) / 2)
+    weight = F.least(F.lit(1.0), (half - (F.col("__upto") - F.col("__n"))) / F.col("__n"))
+    kept = ranked.withColumn("__weight", weight).filter("__weight > 0").groupBy(*each).agg(*[v.alias(k) for k, v in moments(F.col("__weight")).items()])
+    return cut(inverted(kept, each))
+
+
+def least_determinant(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The estimate of every group: the best of all starts, concentrated until no determinant falls."""
+    begun = elemental_starts(rows, keys)
+    estimate = median_start(rows, keys).withColumns({"__start": F.lit(0), "__det": F.lit(None).cast("double")}).select(*begun.columns).union(begun)
+    for _ in range(FIRST_STEPS):
+        estimate = concentrate(rows, estimate, keys)
+    columns = estimate.columns
+    best = F.min(F.struct("__det", "__start", *[c for c in columns if c not in (*keys, "__det", "__start")])).alias("__best")
+    estimate = cut(estimate.groupBy(*keys).agg(best).select(*keys, "__best.*").select(*columns))
+    for _ in range(MOST_STEPS):
+        new = concentrate(rows, estimate, keys)
+        old = estimate.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate([*keys, "__det"])])
+        same = [F.col(k).eqNullSafe(F.col(f"__o{i}")) for i, k in enumerate(keys)]
+        falls = new.join(old, reduce(lambda a, b: a & b, same)).filter(F.col("__det") < F.col(f"__o{len(keys)}") - 1e-9)
+        estimate = new
+        if falls.isEmpty():
+            break
+    return estimate.drop("__start", "__det")
 
 
 def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     """Add __g0, __g1 ...: the group of a row, small groups pooled by the first key, then all together."""
     keys = [f"__g{i}" for i in range(len(by))]
     named = rows.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for k, c in zip(keys, by)})
-    for level in range(len(keys) - 1, -1, -1):
+    for level in range(len(keys) - 1, -1, -1):  # MIN_GROUP is a parameter of the method: a covariance of fewer rows says little
         sizes = cut(named.filter(~F.col("base_failed")).groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")))
         small = F.coalesce(F.col("__size"), F.lit(0)) < MIN_GROUP
         pool = F.lit("pool")
@@ -185,9 +238,7 @@ def judged(counted: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Data
         return counted.select(*extra, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
     narrow = grouped(counted.select(*by, "base_failed", *transformed(), F.xxhash64(*[F.col(c) for c in STATS], *by).alias("__id")), list(by))
     fit = cut(narrow.filter(~F.col("base_failed")).select(*keys, "__id", *[f"__y{i}" for i in range(DIMS)]))
-    estimate = median_start(fit, keys)
-    for _ in range(STEPS):
-        estimate = concentrate(fit, estimate, keys)
+    estimate = least_determinant(fit, keys)
     found = join_group_values(grouped(vectors, list(by)), estimate, keys, F.col("__id"))
     found = found.withColumn("distance2", F.when(~F.col("base_failed"), distance()))
     return found.select(*extra, "distance2", (~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= LIMIT)).alias("kept"))

@@ -3,6 +3,8 @@
 The pre-tokens of a batch lie in one flat numpy array of symbols with the number of their sequence.
 In each round every sequence merges its own lowest-rank pair, all sequences at once; when no pair
 can be merged the surviving symbols are counted.  A text's count is the sum over its pre-tokens.
+A sequence of over LONG letters has an array of its own, with the places of each rank in a queue, so
+that a round costs what it changes and not the sequence's length.
 
 Texts are cut where no piece of the vocabulary can lie across: before a space mark, and between two
 letters that no piece holds side by side.  So counts of the parts add up exactly.
@@ -15,6 +17,7 @@ change nothing, and a clashing input column is replaced.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -28,6 +31,7 @@ LIMIT = 4096
 #: Pre-tokens in each of a worker's two generations of memo, and the longest that it keeps.
 MEMO, MEMO_CHARS = 500_000, 48
 NONE = np.iinfo(np.int64).max
+LONG = 256
 
 
 class Pieces:
@@ -85,6 +89,69 @@ class Pieces:
 
     def count(self, sequences: list[str]) -> np.ndarray:
         """Surviving symbols of each sequence, bytes of unknown letters included."""
+        long = [i for i, s in enumerate(sequences) if len(s) > LONG]
+        if not long:
+            return self.count_short(sequences)
+        total = np.zeros(len(sequences), np.int64)
+        total[long] = [self.count_long(sequences[i]) for i in long]
+        short = [i for i, s in enumerate(sequences) if len(s) <= LONG]
+        if short:
+            total[short] = self.count_short([sequences[i] for i in short])
+        return total
+
+    def spelled(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of a text's letters and the tokens that each is if nothing merges it: a letter without a
+        piece of its own is a fallback of its bytes."""
+        unknown = self.base - 1
+        kinds = {c: (self.letters.get(c, unknown), 1 if self.letters.get(c, unknown) < self.size else len(c.encode("utf-8", "surrogatepass"))) for c in set(text)}
+        both = np.array([kinds[c] for c in text], np.int64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def count_long(self, text: str) -> int:
+        symbols, width = self.spelled(text)
+        n = len(symbols)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        queue: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def push(places: np.ndarray) -> None:
+            ranks = self.pair_ranks(symbols[places], symbols[after[places]])
+            places, ranks = places[ranks != NONE], ranks[ranks != NONE]
+            order = np.argsort(ranks, kind="stable")
+            kinds, starts = np.unique(ranks[order], return_index=True)
+            for rank, some in zip(kinds.tolist(), np.split(places[order], starts[1:])):
+                if rank not in queue:
+                    queue[rank] = []
+                    heapq.heappush(heap, rank)
+                queue[rank].append(some)
+
+        push(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(queue.pop(rank)))
+            at = at[alive[at]]
+            at = at[after[at] < n]
+            at = at[self.pair_ranks(symbols[at], symbols[after[at]]) == rank]
+            if not len(at):
+                continue
+            if self.all_at_once[rank]:  # of touching places every second one, from the left
+                place = np.arange(len(at))
+                begun = np.r_[True, at[1:] != after[at[:-1]]]
+                at = at[(place - np.maximum.accumulate(np.where(begun, place, 0))) % 2 == 0]
+            elif len(at) > 1:
+                queue[rank] = [at[1:]]
+                heapq.heappush(heap, rank)
+                at = at[:1]
+            right = after[at]
+            symbols[at], width[at], alive[right] = rank, 1, False
+            after[at] = after[right]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            near = np.concatenate([at[inside], before[at][before[at] >= 0]])
+            push(np.unique(near))
+        return int(width[alive].sum())
+
+    def count_short(self, sequences: list[str]) -> np.ndarray:
         letters, unknown = self.letters, self.base - 1
         sizes = np.array([len(s) for s in sequences], np.int64)
         symbols = np.array([letters.get(c, unknown) for s in sequences for c in s], np.int64)

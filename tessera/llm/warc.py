@@ -4,13 +4,15 @@ An archive is two Parquet tables in one folder: `payloads` holds each distinct p
 SHA-256 (compressed bytes, length), `records` holds the exact header bytes of every record and the
 digest of its payload.  Of records with equal payloads of at least LEAST bytes that with the
 smallest page_id is a response, the others are revisits that refer to it.  Reading joins records to
-payloads on the digest; a payload counts only after its bytes were unpacked and hashed again.
+payloads on the digest and rebuilds every record's exact bytes; a payload counts only after its bytes
+were unpacked and hashed again.
 
-The digest group of a hot payload is pre-aggregated before the shuffle (one row a task), and
-records that join to it are narrow, so the join can be split.
+The digest group of a hot payload is pre-aggregated before the shuffle (one row a task); the records
+that join to it are the large side of that join and have one partner each, so adaptive skew joins
+split them.
 
-Defined cases: null html is the empty payload; null urls leave out WARC-Target-URI, and line ends in
-urls are percent-encoded; rows with a null page_id are written as responses without a page header,
+Defined cases: null html is the empty payload; null urls leave out WARC-Target-URI, and a url
+with blanks or line ends is percent-encoded there and kept exactly in X-Target-URL-Base64; rows with a null page_id are written as responses without a page header,
 like rows whose page_id is the smallest of their payload (repeated rows are all responses); an empty
 table gives an empty archive; further columns of the pages are not archived.
 """
@@ -93,6 +95,7 @@ def headers(pages: DataFrame) -> Column:
         line("WARC-Record-ID", record_id(F.coalesce(F.col("page_id").cast("string"), F.lit("none")))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", uri()),
+        F.when(F.col("url") != uri(), line("X-Target-URL-Base64", F.regexp_replace(F.base64(F.col("url").cast("binary")), "[\r\n]", ""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("X-Page-ID", F.col("page_id").cast("string")),
         F.when(F.col("revisit"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("least_page_id"))), line("X-Refers-To-Page-ID", F.col("least_page_id").cast("string")))),
@@ -117,25 +120,6 @@ def write_archive(pages: DataFrame, path: str | None = None) -> Archive:
     return archive
 
 
-def verified_payloads(spark: SparkSession, archive: Archive, with_bytes: bool = False) -> DataFrame:
-    """payload_digest, n_bytes (and the payload): digests computed anew from the stored bytes; a
-    payload that doesn't hash to its name ends the job."""
-    fields = "payload_digest string, n_bytes long" + ", payload binary" * with_bytes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            data = [unpack(v.as_py()) if v.as_py() else b"" for v in batch.column(1)]
-            found = [hashlib.sha256(d).hexdigest() for d in data]
-            for name, value in zip(batch.column(0).to_pylist(), found):
-                if name != value:
-                    raise ValueError(f"payload {name} is damaged")
-            columns = [pa.array(found, pa.string()), pa.array([len(d) for d in data], pa.int64())] + [pa.array(data, pa.binary())] * with_bytes
-            yield pa.RecordBatch.from_arrays(columns, names=["payload_digest", "n_bytes", "payload"][: len(columns)])
-
-    return archive.payloads(spark).select("payload_digest", "packed").mapInArrow(run, fields)
-
-
 def field(name: str) -> Column:
     """A field of the WARC header, null without it; the header ends at the first blank line."""
     head = F.split_part(F.col("header").cast("string"), F.lit("\r\n\r\n"), F.lit(1))
@@ -143,22 +127,40 @@ def field(name: str) -> Column:
     return F.when(head.rlike(f"(?:^|\r\n){name}: "), value)
 
 
+def reconstruct(spark: SparkSession, archive: Archive) -> DataFrame:
+    """page_id, header, record (its exact bytes in a WARC file) and payload (in full, for revisits too): each
+    record joined to its payload, which is unpacked and must hash to its name."""
+    stored = archive.payloads(spark).select("payload_digest", "packed")
+    joined = archive.records(spark).join(stored.hint("merge"), "payload_digest").select("payload_digest", "header", "packed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                (names, heads), records, payloads = (c.to_pylist() for c in part.columns[:2]), [], []
+                for name, head, data in zip(names, heads, part.column(2).to_pylist()):
+                    body = unpack(data) if data else b""
+                    if hashlib.sha256(body).hexdigest() != name:
+                        raise ValueError(f"payload {name} is damaged")
+                    payloads.append(body)
+                    revisit = b"\r\nWARC-Type: revisit\r\n" in head.partition(b"\r\n\r\n")[0] + b"\r\n"
+                    records.append(head + (b"" if revisit else body) + b"\r\n\r\n")
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(records, pa.binary()), pa.array(payloads, pa.binary())], names=["header", "record", "payload"])
+
+    rebuilt = joined.mapInArrow(run, "header binary, record binary, payload binary")
+    return rebuilt.select(field("X-Page-ID").cast("long").alias("page_id"), "header", "record", "payload")
+
+
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Of every record: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
-    parsed = archive.records(spark).select(
-        field("X-Page-ID").cast("long").alias("page_id"),
-        field("WARC-Target-URI").alias("url"),
-        F.substring(field("WARC-Payload-Digest"), len("sha256:") + 1, 64).alias("named"),
+    """Of every record as it is rebuilt: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    rebuilt = reconstruct(spark, archive)
+    exact = F.decode(F.unbase64(field("X-Target-URL-Base64")), "UTF-8")
+    return rebuilt.select(
+        "page_id",
+        F.coalesce(exact, field("WARC-Target-URI")).alias("url"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
     )
-    payloads = verified_payloads(spark, archive)
-    joined = parsed.join(payloads, parsed["named"] == payloads["payload_digest"])
-    return joined.select("page_id", "url", F.col("n_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-
-
-def reconstruct(spark: SparkSession, archive: Archive) -> DataFrame:
-    """page_id, record (its exact bytes in a WARC file) and payload (in full, for revisits too)."""
-    joined = archive.records(spark).join(verified_payloads(spark, archive, with_bytes=True), "payload_digest")
-    block = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select(field("X-Page-ID").cast("long").alias("page_id"), F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")

@@ -44,6 +44,33 @@ def test_language_rows(spark):
     assert not out[None]["held_out"] and out[204]["lang_pred"] in ("de", "en")
     assert {r["lang_pred"] for r in langid_crf.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid_crf.language_id(docs.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, r[1], r[2], 1) for r in rows] + [(1, "the dog", "en", 1)] * 3, docs.schema)
+    assert {r["lang_pred"] for r in langid_crf.language_id(nameless).filter("text like 'der hund%'").collect()} == {"de"}
+
+
+def test_many_languages(spark, monkeypatch):
+    """No language is left out, however many there are; a bounded part of each is learned from."""
+    monkeypatch.setattr(langid_crf, "SAMPLE", 60)
+    words = ["".join(chr(97 + (i * 7 + k * 3 + j) % 26) for j in range(4)) + str() for i in range(30) for k in range(5)]
+    rows = [(100 * i + k, " ".join(words[5 * i : 5 * i + 5] * 4), f"l{i:02}") for i in range(30) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid_crf.training_rows(docs, F.lit(True))
+    assert len(sample) == 60 and len({lang for _, lang in sample}) == 30
+    long = spark.createDataFrame([(1, "word " * 100_000, "x")], docs.schema)
+    ((stretches, _),) = langid_crf.training_rows(long, F.lit(True))
+    assert len(stretches) == langid_crf.STRETCHES and all(len(s.split()) == langid_crf.WORDS for s in stretches)
+
+
+def test_spans_of_code_switched_text(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang is not null and length(text) between 300 and 2000").select("doc_id", "text", "lang")
+    crf = langid_crf.trained(langid_crf.training_rows(docs, F.lit(True)))
+    some = {r["lang"]: r["text"].split()[:12] for r in docs.orderBy("doc_id").collect()}
+    langs = sorted(some)[:3]
+    mixed = " ".join(w for lang in langs for w in some[lang])
+    out = langid_crf.identify(spark.createDataFrame([(1, mixed), (2, "12 !"), (3, None)], "doc_id long, text string"), crf, with_spans=True).collect()
+    found = [(s["lang"], s["first"]) for s in out[0]["spans"] if s["last"] - s["first"] > 5]
+    assert [lang for lang, _ in found] == langs and all(abs(first - 12 * k) <= 2 for k, (_, first) in enumerate(found))
+    assert out[1]["spans"] == out[2]["spans"] == []
 
 
 def test_quality_held_out(spark):
@@ -61,6 +88,14 @@ def test_quality_rows(spark):
     one = spark.createDataFrame([(i, 1, 5) for i in range(6)] + [(None, 0, 5), (2, None, 1)], "doc_id long, quality int, text int")
     assert all(r["score"] > 0.9 for r in quality_gbt.classify(docs, one).collect())
     assert quality_gbt.classify(docs.limit(0), one).count() == 0
+    many = docs.union(spark.createDataFrame([(1, "a repeated row", 1)] * 50, docs.schema))
+    x, y = quality_gbt.training_sample(many, one.union(one), F.lit(True))
+    assert len(x) == len(y) == 6  # one row an id and label
+
+
+def test_statistics_of_a_long_text():
+    vector = quality_gbt.statistics("same eight words are said over and over " * 50_000)
+    assert len(vector) == quality_gbt.ROW and vector[-1] < 1e-4 and all(np.isfinite(vector))
 
 
 def test_flattened_trees_equal_a_walk():

@@ -57,6 +57,23 @@ def test_tree_equals_naive_merges(word_bpe):
         assert ours.merge(list(ids)) == naive(list(ids))
 
 
+def test_forest_equals_single_trees(word_bpe):
+    ours, _ = word_bpe
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("thenaioéß") for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 15, 17, 33, 40, 63, 70, 200]))) for _ in range(400)})
+    ids, first, last = ours.encode_words(words)
+    for word, a, b in zip(words, first, last):
+        data = word.encode()
+        assert ids[a:b].tolist() == ours.merge([*[ours.inner[x] for x in data[:-1]], ours.last[data[-1]]])
+
+
+def test_long_texts(spark, word_bpe):
+    text = "x" * 1_000_000 + " " + "many words here, " * 60_000
+    out = bpe.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORDS).first()
+    ids = word_bpe[1].encode(text, add_special_tokens=False).ids
+    assert list(out["ids"]) == ids and out["decoded"] == word_bpe[1].decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_of_late_characters(word_bpe):
     ours, library = word_bpe
     for text in ("a:\U000323b0b", "\u1c89\ua7cb\U00010d50 \U00016ea0x1", "x\U00018e00,\U00012550 9"):
@@ -77,6 +94,14 @@ def test_counts_equal_library(pieces):
     assert ours.counts(ODD) == [len(x) for x in library.encode(ODD, num_threads=1)]
 
 
+def test_long_words(pieces):
+    ours, library = pieces
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("ab", 3000), ("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", 20_000), ("theando漢é", 5000), ("aaab", 700))]
+    texts += ["a" * 4001, "ha" * 2000, "x" + " " * 3000 + "y"]
+    assert ours.counts(texts) == [len(library.encode(t)) for t in texts]
+
+
 def test_memo_turnover(word_bpe, monkeypatch):
     ours, library = word_bpe
     monkeypatch.setattr(bpe, "MEMO", 5)

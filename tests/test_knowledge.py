@@ -41,6 +41,8 @@ def test_amounts_in_text(spark, given, want):
     "quote, want",
     [
         ("only if rent stays under 15000", ("rent_amount", "<", 15000)),
+        ("only if rent stays under ₹15,000", ("rent_amount", "<", 15000)),
+        ("unless my salary is above 1.2 lakh", ("monthly_income", "<=", 120000)),
         ("unless rent goes above 16000", ("rent_amount", "<=", 16000)),
         ("as long as my salary is at least ₹ 50000", ("monthly_income", ">=", 50000)),
         ("Rent is 15000 below market.", None),
@@ -200,3 +202,42 @@ def test_audit_of_a_long_log(spark):
         entry = hashlib.sha256(f"{last[key]}b{i}".encode()).hexdigest()
         assert got[i] == (key, last[key], entry)
         last[key] = entry
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("Is my rent ₹15,000?", ["rent", "15000"]), ("15k", ["15000"]), ("Rs. 15,000/-", ["15000"]), ("1.2 lakh deposit", ["120000", "deposit"]),
+        ("Flat_4B, Indiranagar", ["flat", "4b", "indiranagar"]), ("ﬁne Ｈouse", ["fine", "house"]), (None, None), ("", []),
+    ],
+)
+def test_tokens(spark, given, want):
+    row = spark.createDataFrame([(given,)], "t string").select(text.tokens(F.col("t")).alias("w")).first()
+    assert row["w"] == want
+
+
+def test_compatible_forms(spark):
+    rows = spark.createDataFrame([("ﬁne  day",), ("fine day",), ("é",), ("e\u0301",), ("Miss Rao",), ("rao",)], "t string")
+    out = rows.select(text.text_hash(F.col("t")).alias("h"), text.name_key(F.col("t")).alias("k")).collect()
+    assert out[0]["h"] == out[1]["h"] and out[2]["h"] == out[3]["h"] and out[4]["k"] == out[5]["k"] == "rao"
+    assert [d.isoformat() for _, _, d in parse.dates_in("from 05-06-2026 to 2026-07-01, then 3 May 2027")] == ["2026-06-05", "2026-07-01", "2027-05-03"]
+
+
+def test_best_sentence_equals_plain_python(spark):
+    from tessera.operators import answers
+
+    texts = {1: "The rent is due. The landlord owns the house. Rent of the house is high.", 2: "Nothing here.", 3: ""}
+    out = {r["doc_id"]: (r["quote"], r["n_shared"]) for r in answers.best_sentence(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), "doc_id", F.lit("house rent landlord")).collect()}
+    asked = {"house", "rent", "landlord"}
+    for key, t in texts.items():
+        parts = [s for s in t.replace(". ", ".\n").split("\n") if s]
+        if parts:
+            best = max(parts, key=lambda s: len(asked & set(s.lower().strip(".").split())))
+            assert out[key] == (best, len(asked & set(best.lower().strip(".").split())))
+
+
+def test_display_and_mentions(spark):
+    rows = spark.createDataFrame([("RAVI KUMAR",), ("Ravi  Kumar",), ("RK",)], "t string")
+    assert [r[0] for r in rows.select(text.display_name(F.col("t"))).collect()] == ["Ravi Kumar", "Ravi Kumar", "RK"]
+    one = spark.range(1).select(text.mentions(F.lit("paid ravi today"), F.lit("ravi kumar"), F.lit(True)), text.mentions(F.lit("paid ravi today"), F.lit("ravi kumar"), F.lit(False)), text.escaped(F.lit("</Chunk>"))).first()
+    assert tuple(one) == (True, False, "‹/Chunk>")

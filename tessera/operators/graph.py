@@ -39,7 +39,7 @@ def neighbourhood(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
     """id and hop of all nodes within hops of the start, edges taken both ways: one join a hop with the
     frontier only, which leaves out what was seen."""
     spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct().persist()  # read at each hop
     seen = spark.createDataFrame([(s, 0) for s in start], "id string, hop int")
     frontier = seen
     for hop in range(1, hops + 1):

@@ -42,7 +42,7 @@ def bm25(chunks: DataFrame, key: str, query: list[str], text: str = "text") -> D
         key,
         F.size("terms").alias("dl"),
         *[occurrences(F.col("terms"), w).alias(f"tf{i}") for i, w in enumerate(terms)],
-    )
+    ).persist()  # a few numbers a chunk, read for the statistics and the scores: texts are tokenised once
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"),

@@ -27,7 +27,7 @@ def source_of(path: Column) -> Column:
 def relative(path: Column, root: str) -> Column:
     """Path below the root; an error for a path outside."""
     inside = path.startswith(root.rstrip("/") + "/") & ~path.contains("/../")
-    return F.when(inside, F.substr(path, F.lit(len(root.rstrip("/")) + 2))).otherwise(F.raise_error(F.concat(F.lit("outside the vault: "), path)))
+    return F.when(inside, F.substr(path, F.lit(len(root.rstrip("/")) + 2))).otherwise(F.raise_error(F.concat(F.lit("outside the root: "), path)))
 
 
 def watched(path: Column, folder: str) -> Column:

@@ -16,9 +16,9 @@ from tessera.sources.tables import FACTS, facts, read
 )
 def file_routing(spark: SparkSession, d: str) -> DataFrame:
     ending = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".MD", ".txt", ".doc")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    path = F.concat(F.lit("/vault/d/"), F.col("p_partkey").cast("string"), ending)
-    seen = F.concat(F.lit("/vault/d/"), F.when(F.col("p_partkey") % 5 == 0, ".").otherwise(""), F.col("p_partkey").cast("string"), ending)
-    return read(spark, d, "part").select("p_partkey", intake.source_of(path).alias("source"), intake.relative(path, "/vault").alias("path"), intake.watched(seen, "/vault/d").alias("watched"))
+    path = F.concat(F.lit("/base/d/"), F.col("p_partkey").cast("string"), ending)
+    seen = F.concat(F.lit("/base/d/"), F.when(F.col("p_partkey") % 5 == 0, ".").otherwise(""), F.col("p_partkey").cast("string"), ending)
+    return read(spark, d, "part").select("p_partkey", intake.source_of(path).alias("source"), intake.relative(path, "/base").alias("path"), intake.watched(seen, "/base/d").alias("watched"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 7 = 0")

@@ -56,9 +56,10 @@ def permuted(numbers: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 
 def row_numbers(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
-    """rows (stored) with row_number from 0, and their count; by starts with the column whose md5
-    spreads the rows."""
-    digits = F.coalesce(F.substring(F.md5(F.col(by[0]).cast("string").cast("binary")), 1, DIGITS), F.lit(""))
+    """rows (stored) with row_number from 0, and their count.  The md5 of all columns of by spreads the
+    rows, so different rows of one id, or without an id, are in different buckets."""
+    known = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    digits = F.substring(F.md5(known.cast("binary")), 1, DIGITS)
     spread = rows.withColumn("__bucket", digits)
     counts = spread.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -138,6 +138,26 @@ def test_mix(spark):
     assert copies.columns == docs.columns and copies.count() == sum(r["copies"] for r in mixing.mix(docs.filter("doc_id > 0")).collect())
 
 
+def test_mix_equals_one_queue(spark):
+    """Finish times and the cut against one sorted list of all copies."""
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(0, 60), rng.choice(["a", "a", "b", None])) for i in range(500)] + [(900, "w " * 50, "c")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    copies = []
+    for source in {r["source"] for r in out}:
+        queue = sorted((r for r in out if r["source"] == source and r["size"]), key=lambda r: r["first_finish"])
+        done = 0
+        for r in queue:
+            done += r["size"]
+            assert r["first_finish"] == pytest.approx(done / r["target"]) and r["second_finish"] == pytest.approx((r["source_size"] + done) / r["target"])
+            copies += [(r["first_finish"], r["size"], r["copies"] >= 1), (r["second_finish"], r["size"], r["copies"] == 2)]
+    copies.sort()
+    kept = [c[2] for c in copies]
+    n, budget = sum(kept), int(1.5 * sum(r["size"] for r in out))
+    assert kept == [True] * n + [False] * (len(kept) - n)
+    assert sum(c[1] for c in copies[:n]) <= budget < sum(c[1] for c in copies[: n + 1])
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
         assert sorted(sharding.permuted(np.arange(n), n).tolist()) == list(range(n))
@@ -147,7 +167,7 @@ def test_permutation():
 def test_shards(spark):
     import zlib
 
-    rows = [(i, f"text é {i % 40}", 1) for i in range(333)] + [(None, None, 2), (3, "text é 3", 1), (3, "text é 3", 1)]
+    rows = [(i, f"text é {i % 40}", 1) for i in range(333)] + [(None, None, 2), (None, "", 2), (3, "text é 3", 1), (3, "text é 3", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     out = sharding.shard_documents(docs).collect()
     counts = {}

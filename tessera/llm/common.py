@@ -59,14 +59,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), lambda w: w != "")
 
 
-def join_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column) -> DataFrame:
-    """Left-join one row per group to all rows, null keys being groups of their own.
+def are_few(groups: DataFrame) -> bool:
+    """Has the table a size at which it may be broadcast?"""
+    return groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    groups is counted first: up to BROADCAST_ROWS rows it is broadcast; a larger one is repeated
-    SALTS times and joined on the keys and a salt taken from spread, so that a hot group has
+
+def join_group_values(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, few: bool | None = None) -> DataFrame:
+    """Left-join the rows of a group (one, or a fixed number) to all rows, null keys being groups of their own.
+
+    groups is counted first unless few is given: up to BROADCAST_ROWS rows it is broadcast; a larger one
+    is repeated SALTS times and joined on the keys and a salt taken from spread, so that a hot group has
     SALTS tasks.
     """
-    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = are_few(groups) if few is None else few
     right = groups.select(*[F.col(k).alias(f"__g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     on = None
     for k in keys:

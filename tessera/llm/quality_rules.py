@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_PATTERN, cut, join_group_values, written
+from tessera.llm.common import SPACE_PATTERN, are_few, cut, join_group_values, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -35,6 +35,8 @@ MIN_GROUP = 30
 LIMIT = 28.47
 #: Elemental starts, steps of every start, most steps of the best one (it stops when no determinant falls).
 SUBSETS, FIRST_STEPS, MOST_STEPS = 3, 2, 12
+#: Partitions of the stored estimates where groups are few.
+PARTS = 8
 SCALE = 1024
 #: Least standard deviation of each transformed statistic: without it the many texts that have no
 #: symbol at all would make one symbol an outlier.
@@ -177,14 +179,18 @@ def elemental_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return inverted(sums, [*keys, "__start"])
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
-    """One concentration step of every group and start: the estimate of the rows nearest to the last one."""
-    each = [*keys, "__start"]
-    values = [c for c in estimate.columns if c not in each]
-    # the estimates of a group's starts lie in one row, so rows are joined once
-    starts = estimate.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__start", *values))).alias("__starts"))
-    joined = join_group_values(rows, starts, keys, F.col("__id")).select(*rows.columns, F.inline("__starts"))
-    near = joined.withColumn("__bin", F.floor(64 * F.log1p(distance())).cast("int"))
+def stored(estimate: DataFrame, few: bool) -> DataFrame:
+    """A stored estimate; of few groups in few partitions, which every later step reads again."""
+    return cut(estimate.coalesce(PARTS) if few else estimate)
+
+
+def concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """One concentration step of every group and start: the estimate of the rows nearest to the last one,
+    whose determinant comes along as __was."""
+    each = [*keys, "__start", "__was"]
+    last = estimate.withColumnRenamed("__det", "__was")
+    near = join_group_values(rows, last, keys, F.col("__id"), few).filter("__start is not null")
+    near = near.withColumn("__bin", F.floor(64 * F.log1p(distance())).cast("int"))
     binned = near.groupBy(*each, "__bin").agg(*[v.alias(k) for k, v in moments().items()])
     by = Window.partitionBy(*each)
     upto = by.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -192,25 +198,24 @@ def concentrate(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFr
     half = F.floor((F.col("__all") + DIMS + 2) / 2)
     weight = F.least(F.lit(1.0), (half - (F.col("__upto") - F.col("__n"))) / F.col("__n"))
     kept = ranked.withColumn("__weight", weight).filter("__weight > 0").groupBy(*each).agg(*[v.alias(k) for k, v in moments(F.col("__weight")).items()])
-    return cut(inverted(kept, each))
+    return stored(inverted(kept, each), few)
 
 
 def least_determinant(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The estimate of every group: the best of all starts, concentrated until no determinant falls."""
     begun = elemental_starts(rows, keys)
-    estimate = median_start(rows, keys).withColumns({"__start": F.lit(0), "__det": F.lit(None).cast("double")}).select(*begun.columns).union(begun)
+    columns = begun.columns
+    estimate = median_start(rows, keys).withColumns({"__start": F.lit(0), "__det": F.lit(None).cast("double")}).select(*columns).union(begun)
+    few = are_few(rows.select(*keys).distinct())
+    estimate = stored(estimate, few)
     for _ in range(FIRST_STEPS):
-        estimate = concentrate(rows, estimate, keys)
-    columns = estimate.columns
+        estimate = concentrate(rows, estimate, keys, few).select(*columns)
     best = F.min(F.struct("__det", "__start", *[c for c in columns if c not in (*keys, "__det", "__start")])).alias("__best")
-    estimate = cut(estimate.groupBy(*keys).agg(best).select(*keys, "__best.*").select(*columns))
+    estimate = stored(estimate.groupBy(*keys).agg(best).select(*keys, "__best.*").select(*columns), few)
     for _ in range(MOST_STEPS):
-        new = concentrate(rows, estimate, keys)
-        old = estimate.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate([*keys, "__det"])])
-        same = [F.col(k).eqNullSafe(F.col(f"__o{i}")) for i, k in enumerate(keys)]
-        falls = new.join(old, reduce(lambda a, b: a & b, same)).filter(F.col("__det") < F.col(f"__o{len(keys)}") - 1e-9)
-        estimate = new
-        if falls.isEmpty():
+        new = concentrate(rows, estimate, keys, few)
+        estimate = new.select(*columns)
+        if new.filter(F.col("__det") < F.col("__was") - 1e-9).isEmpty():
             break
     return estimate.drop("__start", "__det")
 

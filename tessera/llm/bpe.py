@@ -327,6 +327,11 @@ class Bpe:
             for parts in split:
                 yield [long[c] if c in long else self.memo[c] for c in parts] if long else [*map(self.memo.__getitem__, parts)]
 
+    def forget(self) -> None:
+        """Empty the memo, so that a worker that waits for its next task holds the vocabulary alone."""
+        self.memo, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str | None) -> list[int]:
         return joined(next(self.pieces([text or ""]))).tolist()
 
@@ -375,17 +380,20 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", outputs:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(source.value)
-        for batch in batches:
-            n_tokens, first, second = [], [], []
-            for found in bpe.pieces([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]):
-                n_tokens.append(sum([p[0] for p in found]))
-                decoded = " ".join([p[2] for p in found if p[0]])
-                second.append(decoded if outputs == "tokens" else sha(decoded))
-                if outputs == "digests":
-                    first.append(sha(" ".join([p[1] for p in found if p[0]])))
-                else:
-                    first.append(joined(found))
-            made = [pa.array(n_tokens, pa.int64()), pa.array(first, pa.string() if outputs == "digests" else pa.list_(pa.int32())), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + made, names=passed + [f.name for f in added])
+        try:
+            for batch in batches:
+                n_tokens, first, second = [], [], []
+                for found in bpe.pieces([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]):
+                    n_tokens.append(sum([p[0] for p in found]))
+                    decoded = " ".join([p[2] for p in found if p[0]])
+                    second.append(decoded if outputs == "tokens" else sha(decoded))
+                    if outputs == "digests":
+                        first.append(sha(" ".join([p[1] for p in found if p[0]])))
+                    else:
+                        first.append(joined(found))
+                made = [pa.array(n_tokens, pa.int64()), pa.array(first, pa.string() if outputs == "digests" else pa.list_(pa.int32())), pa.array(second, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in passed] + made, names=passed + [f.name for f in added])
+        finally:
+            bpe.forget()
 
     return docs.mapInArrow(run, schema)

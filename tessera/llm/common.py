@@ -34,10 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under a fresh name in the shared folder and read it back."""
+def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write df as Parquet under a fresh name in the shared folder, in parts by columns if any, and read it back."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +47,8 @@ def erase(*tables: DataFrame) -> None:
         jvm, files = df.sparkSession._jvm, df.inputFiles()
         if files:
             path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            while "=" in path.getName():  # a part by a column's value
+                path = path.getParent()
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 

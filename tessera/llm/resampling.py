@@ -42,8 +42,8 @@ LEAST_WORDS = 20
 SHARE = 5  # of 100 documents
 SEED = 42
 #: Words of one trie, and bytes of text that are cut into words at once.
-PIECE = 1 << 20
-BYTES = 8 << 20
+PIECE = 1 << 18
+BYTES = 2 << 20
 #: Drawn rows of a bin of scores, and bins at most.
 ROWS = 50_000
 BINS = 4096

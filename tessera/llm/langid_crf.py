@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,8 +44,10 @@ STEPS, RATE, DECAY = 45, 0.12, 1e-3
 UNDETERMINED = "und"
 #: Words times languages of texts whose chains are walked together.
 TOGETHER = 4_000_000
-LETTER = re.compile(r"[^\W\d_]")
-EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+#: Characters of words that are no letters: digits, fractions, raised and Roman numbers.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+LETTER = re.compile(f"[^\\W{NUMBERS}_]")
+EDGE = re.compile(f"^[\\W{NUMBERS}_]+|[\\W{NUMBERS}_]+$")
 
 
 class Crf:

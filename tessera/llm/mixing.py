@@ -108,11 +108,36 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     return mixed(sized)
 
 
-def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs as the mix holds them: each row as often as its document is taken.  Rows of one doc_id and
-    source count as one document here."""
-    sized = docs.groupBy("doc_id", "source").agg(F.sum(word_count(F.col(text))).alias("size"))
-    taken = mixed(written(sized, "sizes")).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of"))
-    joined = docs.join(taken, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, text: str = "text", ordered: bool = True) -> DataFrame:
+    """docs as the mix holds them: each row as often as its document is taken, in the order of the mix.
+
+    Rows equal in doc_id, source and text are told apart by number only: each is a document of the mix,
+    and what is taken of them is dealt to them evenly."""
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keys = ["doc_id", "source", "__mark"]
+    sized = docs.select("doc_id", "source", mark.alias("__mark"), word_count(F.col(text)).alias("size")).groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("__n"))
+    each = sized.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__each", "__n")
+    taken = mixed(written(each, "sizes")).filter("copies > 0")
+    sums = taken.groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.min("first_finish").alias("__first"), F.min("second_finish").alias("__second"))
+    counts = sized.filter("__n > 1").groupBy(*keys).agg(F.sum("__n").alias("__n"))
+    names = {"doc_id": "__id", "source": "__of", "__mark": "__hash"}
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed(names)
+
+    def same(right: str) -> Column:
+        return (F.col("__mark") == F.col("__hash" + right)) & F.col("doc_id").eqNullSafe(F.col("__id" + right)) & F.col("source").eqNullSafe(F.col("__of" + right))
+
+    sums = renamed(sums).join(renamed(counts).withColumnsRenamed({c: c + "2" for c in names.values()}), (F.col("__hash") == F.col("__hash2")) & F.col("__id").eqNullSafe(F.col("__id2")) & F.col("__of").eqNullSafe(F.col("__of2")), "left")
+    sums = written(sums.select(*names.values(), "__copies", "__first", "__second", F.coalesce("__n", F.lit(1)).alias("__n")), "taken")
+    joined = docs.withColumn("__mark", mark).join(sums, same(""))
+    even = joined.filter("__copies % __n = 0").withColumn("__copy", F.expr("explode(sequence(1, int(__copies / __n)))"))
+    # only rows equal to one at the cut are numbered
+    place = F.row_number().over(Window.partitionBy("__id", "__of", "__hash").orderBy(F.lit(0)))
+    own = F.expr("int(__copies div __n) + if(__place <= __copies % __n, 1, 0)")
+    rest = joined.filter("__copies % __n <> 0").withColumn("__place", place).withColumn("__own", own).filter("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own"))))
+    out = even.unionByName(rest.drop("__place", "__own"))
+    if ordered:
+        time = F.when(F.col("__copy") == 1, F.col("__first")).otherwise(F.col("__second"))
+        out = out.withColumn("__time", time).repartitionByRange("__time", "__mark").sortWithinPartitions("__time", "__mark")
+    return out.select(*docs.columns)

@@ -166,7 +166,9 @@ def moments(weight: Column | None = None) -> dict[str, Column]:
 
 
 def elemental_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and start 1 .. SUBSETS: the estimate of the DIMS + 1 rows with the least hashes."""
+    """Per group and start 1 .. SUBSETS: the estimate of the DIMS + 1 distinct vectors with the least
+    hashes; copies of a vector count once here, and a group with fewer vectors has no such start."""
+    rows = rows.select(*keys, *[f"__y{i}" for i in range(DIMS)]).distinct().withColumn("__id", F.xxhash64(*[f"__y{i}" for i in range(DIMS)]))
     sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")))
     some = join_group_values(rows, sizes, keys, F.col("__id"))
     starts = F.array(*[F.struct(F.lit(k).alias("__start"), F.xxhash64("__id", F.lit(k)).alias("__hash")) for k in range(1, SUBSETS + 1)])
@@ -176,7 +178,7 @@ def elemental_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys, "__start").orderBy("__hash", *[f"__y{i}" for i in range(DIMS)])
     chosen = few.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= DIMS + 1)
     sums = chosen.groupBy(*keys, "__start").agg(*[v.alias(k) for k, v in moments().items()])
-    return inverted(sums, [*keys, "__start"])
+    return inverted(sums.filter(F.col("__n") == DIMS + 1), [*keys, "__start"])
 
 
 def stored(estimate: DataFrame, few: bool) -> DataFrame:

@@ -37,10 +37,10 @@ def test_language_held_out(spark):
 
 def test_language_rows(spark):
     rows = [(i, "the cat and the dog ran home " * 5, "en", 1) for i in range(20)] + [(100 + i, "der hund und die katze gehen heim " * 5, "de", 1) for i in range(20)]
-    rows += [(201, None, "en", 1), (202, "12 34 !!", None, 2), (203, "", "de", 3), (None, "der hund und", None, 4), (204, "ohne" * 3000, None, 5)]
+    rows += [(201, None, "en", 1), (202, "12 34 !!", None, 2), (206, "½ ² ³ Ⅷ ٣ _", None, 2), (203, "", "de", 3), (None, "der hund und", None, 4), (204, "ohne" * 3000, None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     out = {r["doc_id"]: r for r in langid_crf.language_id(docs).collect()}
-    assert out[201]["lang_pred"] == out[202]["lang_pred"] == out[203]["lang_pred"] == "und" and out[None]["lang_pred"] == "de" and out[3]["lang_pred"] == "en"
+    assert out[201]["lang_pred"] == out[202]["lang_pred"] == out[203]["lang_pred"] == out[206]["lang_pred"] == "und" and out[None]["lang_pred"] == "de" and out[3]["lang_pred"] == "en"
     assert not out[None]["held_out"] and out[204]["lang_pred"] in ("de", "en")
     assert {r["lang_pred"] for r in langid_crf.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid_crf.language_id(docs.limit(0)).count() == 0

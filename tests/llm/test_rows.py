@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +80,16 @@ def test_estimate_is_a_least_determinant(spark, monkeypatch):
     assert sorted(r["__start"] for r in starts) == [1, 2, 3] and all(r["__det"] is not None for r in starts)
 
 
+def test_starts_are_of_distinct_vectors(spark):
+    """Copies of one vector are no start; a group with fewer than five vectors has none of these starts."""
+    rng = np.random.default_rng(6)
+    rows = [("g", 0, 5, 5, 5, 5)] * 3000 + [("g", 0, *map(int, rng.integers(0, 900, 4))) for _ in range(30)] + [("h", 0, k, k, k, k) for k in (1, 2, 3)] * 50
+    table = spark.createDataFrame(rows, "g string, __id long, __y0 long, __y1 long, __y2 long, __y3 long")
+    starts = quality_rules.elemental_starts(table, ["g"]).collect()
+    assert {(r["g"], r["__start"]) for r in starts} == {("g", 1), ("g", 2), ("g", 3)}
+    assert len(quality_rules.least_determinant(table, ["g"]).collect()) == 2
+
+
 def test_inverse_equals_numpy(spark):
     rng = np.random.default_rng(1)
     y = np.rint(rng.normal(0, 300, (200, 4)) @ rng.normal(0, 1, (4, 4))).astype(int)
@@ -134,8 +145,14 @@ def test_mix(spark):
     assert all(abs(taken[s] - goal[s]) <= 180 for s in goal)
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
     assert mixing.mix(docs.limit(0)).count() == 0
-    copies = mixing.mixed_documents(docs.filter("doc_id > 0"))
-    assert copies.columns == docs.columns and copies.count() == sum(r["copies"] for r in mixing.mix(docs.filter("doc_id > 0")).collect())
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") > 50, F.col("doc_id"))).unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id < 40"))
+    for table in (docs, nameless, docs.limit(0)):
+        copies, rows = mixing.mixed_documents(table), mixing.mix(table).collect()
+        count = lambda rows: sorted(Counter((r["source"], len((r["text"] or "").split())) for r in rows).items(), key=str)
+        want = Counter()
+        for r in rows:
+            want[r["source"], r["size"]] += r["copies"]
+        assert copies.columns == docs.columns and count(copies.collect()) == sorted((+want).items(), key=str)
 
 
 def test_mix_equals_one_queue(spark):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parse
 from tessera.functions.text import CITATION, sentences, tokens
+from tessera.operators import citations
 
 FIRST_CHUNKS, CHAT_WINDOWS = 8, 16
-MOST_CHECKS, QUOTE, PLAN_STEPS, HISTORY = 2, 200, 4, 6
-NOT_FOUND = "(?i)\\b(?:do not|dont|don t|does not|doesnt|cannot|cant|couldnt|could not)\\s+(?:have|find|see|contain|know)\\b|\\bno (?:information|record|mention)\\b"
+MOST_CHECKS, HISTORY = 2, 6
 
 
 def has_cue(text: Column, cues: list[str]) -> Column:
@@ -57,23 +57,21 @@ def oldest_checks(conditions: DataFrame, by: str, most: int = MOST_CHECKS) -> Da
     return once.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("seq"))).filter(F.col("__r") <= most).drop("__r")
 
 
-def best_sentence(texts: DataFrame, key: str, question: Column, limit: int = QUOTE) -> DataFrame:
-    """The sentence with the most tokens of the question, the first on a tie, cut at the limit."""
+def best_sentence(texts: DataFrame, key: str, question: Column, limit: int = citations.QUOTE) -> DataFrame:
+    """The sentence with the most tokens of the question, the first on a tie, cut at a word before the limit."""
     split = texts.select(key, F.array_distinct(tokens(question)).alias("__q"), F.posexplode(sentences(F.col("text"))).alias("__pos", "sentence"))
     shared = F.size(F.array_intersect(tokens(F.col("sentence")), F.col("__q")))
     best = F.max_by("sentence", F.struct(shared.alias("n"), (-F.col("__pos")).alias("p")))
-    return split.groupBy(key).agg(F.substring(best, 1, limit).alias("quote"), F.max(shared).alias("n_shared"))
+    return split.groupBy(key).agg(citations.cut_at_word(best, limit).alias("quote"), F.max(shared).alias("n_shared"))
 
 
 def says_not_found(text: Column) -> Column:
-    """Does an answer say that it isn't known?  Marks don't matter."""
-    return F.regexp_replace(F.lower(text), "['’]", "").rlike(NOT_FOUND)
+    """Does an answer say that it isn't known?"""
+    return citations.denies(text)
 
 
 def citations_of_denials_dropped(text: Column) -> Column:
-    """Citations go from sentences that deny having something."""
-    kept = F.transform(sentences(text), lambda s: F.when(says_not_found(s), F.trim(F.regexp_replace(s, "\\s*" + CITATION, ""))).otherwise(s))
-    return F.array_join(kept, " ")
+    return citations.without_citations_of_denials(text)
 
 
 def unrelated_citations(answers: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
@@ -92,9 +90,9 @@ def assembled(rows: DataFrame, by: str, rank: str, line: str) -> DataFrame:
 
 
 def history(turns: DataFrame, by: str = "conv_id", order: str = "turn", last: int = HISTORY) -> DataFrame:
-    """The user's turns among the last ones of a conversation, joined."""
+    """The user's turns among the last ones of a conversation, joined, without their citations."""
     recent = turns.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).filter((F.col("__r") <= last) & (F.col("role") == "user"))
-    return recent.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("history"), F.count(F.lit(1)).alias("n_turns"))
+    return recent.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: F.trim(citations.uncited(x["text"]))), "\n").alias("history"), F.count(F.lit(1)).alias("n_turns"))
 
 
 def newest_matching(rows: DataFrame, by: str, patterns: dict[str, tuple[str, str, str]]) -> DataFrame:

@@ -30,17 +30,6 @@ def not_of_owner(documents: DataFrame) -> DataFrame:
     return documents.filter((F.col("signature_status") == "issuer_signed") & (F.col("holder_status") != "verified"))
 
 
-def source_label(source_type: Column, signature: Column, holder: Column, source: Column) -> Column:
-    """Where a fact comes from, in words."""
-    return (
-        F.when(source_type == "owner_stated", "stated by the owner")
-        .when((signature == "issuer_signed") & F.coalesce(holder == "verified", F.lit(True)), "signed document")
-        .when(signature == "issuer_signed", "signed document of another holder")
-        .when(signature == "invalid", "document with an invalid signature")
-        .otherwise(F.concat(F.lit("unsigned "), source))
-    )
-
-
 def with_partner(requests: DataFrame, requesters: DataFrame, key: str) -> DataFrame:
     """Requests with name and status of who asks; unknown ones stay."""
     return requests.join(requesters, key, "left")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tessera.plans import form_queries, intake_queries, knowledge_queries, stream_queries, text_queries, view_queries  # noqa: F401
+from tessera.plans import answer_queries, form_queries, intake_queries, knowledge_queries, stream_queries, text_queries, view_queries  # noqa: F401
 from tessera.plans.registry import ORACLE, QUERIES  # noqa: F401

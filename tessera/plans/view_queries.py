@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import parse, text
-from tessera.operators import answers, views
+from tessera.operators import answers, known, views
 from tessera.plans.registry import query
 from tessera.plans.text_queries import STOPS
 from tessera.sources.tables import EDGES, FACTS, edges, facts, read
@@ -40,11 +40,15 @@ def holder_documents(spark: SparkSession, d: str) -> DataFrame:
     return views.of_owner(all_docs).select("doc_id", F.lit(True).alias("own")).union(views.not_of_owner(all_docs).select("doc_id", F.lit(False)))
 
 
-@query(f"""WITH {DOCS} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'stated by the owner' WHEN signature_status = 'issuer_signed' AND coalesce(holder_status, 'verified') = 'verified' THEN 'signed document'
-WHEN signature_status = 'issuer_signed' THEN 'signed document of another holder' WHEN signature_status = 'invalid' THEN 'document with an invalid signature' ELSE 'unsigned ' || source END AS label FROM docs""")
+@query(f"""WITH {DOCS}, k AS (SELECT *, (['issuer_doc','extracted','owner_stated'])[doc_id % 3 + 1] AS kind, (['bank_statement','marksheet','id_card','letter'])[doc_id % 4 + 1] AS doc_type, (['note','chat','pdf','mail'])[doc_id % 5 % 4 + 1] AS src FROM docs)
+SELECT doc_id, CASE WHEN kind = 'issuer_doc' THEN CASE doc_type WHEN 'bank_statement' THEN 'bank-signed statement' WHEN 'marksheet' THEN 'board-signed marksheet' WHEN 'id_card' THEN 'government-signed ID card' ELSE 'issuer-signed document' END
+WHEN signature_status = 'issuer_signed' AND holder_status <> 'verified' THEN 'signed document in someone else''s name' WHEN kind = 'owner_stated' THEN 'you told me'
+ELSE CASE src WHEN 'note' THEN 'from your notes' WHEN 'chat' THEN 'from your WhatsApp chat' WHEN 'pdf' THEN 'from an unsigned document' ELSE 'from your files' END END AS label FROM k""")
 def source_labels(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("doc_id") % 10 == 0, "owner_stated").otherwise("extracted")
-    return docs(spark, d).select("doc_id", views.source_label(kind, F.col("signature_status"), F.col("holder_status"), F.col("source")).alias("label"))
+    i = F.col("doc_id")
+    kind, doc_type = pick(["issuer_doc", "extracted", "owner_stated"], i % 3), pick(["bank_statement", "marksheet", "id_card", "letter"], i % 4)
+    label = known.source_label(kind, F.lit(True), pick(["note", "chat", "pdf", "mail"], i % 5 % 4), doc_type, F.col("signature_status"), F.col("holder_status"))
+    return docs(spark, d).select("doc_id", label.alias("label"))
 
 
 @query("SELECT c_custkey, min(o_orderkey) AS position FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -193,8 +197,8 @@ def best_sentences(spark: SparkSession, d: str) -> DataFrame:
     return answers.best_sentence(read(spark, d, "documents"), "doc_id", F.lit("the house of the landlord and the rent"))
 
 
-@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN 'I don''t have that.' WHEN 1 THEN 'There is no record of it.' ELSE 'Rent is due' END AS answer, (conv_id + turn) % 3 <> 2 AS not_found,
-CASE (conv_id + turn) % 3 WHEN 0 THEN 'I don''t have that.' WHEN 1 THEN 'There is no record of it.' ELSE 'Rent is due [2].' END AS checked FROM conversations""")
+@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN 'I don''t have that.' WHEN 1 THEN 'There is no record of it.' ELSE 'Rent is due' END AS answer, (conv_id + turn) % 3 = 0 AS not_found,
+CASE (conv_id + turn) % 3 WHEN 0 THEN 'I don''t have that.' WHEN 1 THEN 'There is no record of it [1, 3].' ELSE 'Rent is due [2].' END AS checked FROM conversations""")
 def denials(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     said = pick(["I don't have that.", "There is no record of it.", "Rent is due"], (F.col("conv_id") + F.col("turn")) % 3)

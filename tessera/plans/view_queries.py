@@ -265,7 +265,7 @@ def name_tests(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", text.is_role_word(n).alias("role"), text.is_contact_line(line).alias("contact"), F.concat("p_name", F.lit(",")).alias("shown"))
 
 
-@query("SELECT p_partkey, 'Flat move ' || p_partkey AS title, 'keep the ' || p_name AS decision, ['a', 'b c'] AS links, regexp_replace(p_name, 'zz', 'zz') || '\\, \\; \\n' AS ics FROM part")
+@query("SELECT p_partkey, 'Flat move ' || p_partkey AS title, 'Keep the ' || p_name AS decision, ['a', 'b c'] AS links, regexp_replace(p_name, 'zz', 'zz') || '\\, \\; \\n' AS ics FROM part")
 def note_parts(spark: SparkSession, d: str) -> DataFrame:
     title = text.note_title(F.concat(F.lit("/notes/flat_move-"), "p_partkey", F.lit(".md")))
     decision = text.decision_label(F.concat(F.lit("Decision: keep the "), "p_name", F.lit(".")))

@@ -1,9 +1,7 @@
 """A stored entity graph that grows by batches of grounded documents.
 
-A batch appends mentions and proposed edges in folders of its own and then its mark; only marked
-batches are read.  A batch that is written again replaces its own folders, so a repeat (a retried
-micro-batch, a job that lost its driver) leaves the graph as it was.  Which entity a mention means is
-decided at reading, by rules that look at all mentions of a key at once: the same graph comes from any
+A batch appends mentions and proposed edges as a unit; a repeat (a retried micro-batch, a job that lost
+its driver) leaves the graph as it was.  Which entity a mention means is decided at reading, by rules that look at all mentions of a key at once: the same graph comes from any
 cut of the documents into batches.
 
 Mentions: key, kind (named, note or link), type, name, attrs, doc_id, seq.  One key has two entities at
@@ -14,14 +12,13 @@ a placeholder concept.  Edges: doc_id, n, src, src_kind, rel, dst, dst_kind, val
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import forms, text
 from tessera.operators.graph import first_name_merges, relation_allowed, repointed
 from tessera.operators.grounding import OWNER
+from tessera.operators.stored import Batches
 
 MENTIONS = "key string, kind string, type string, name string, attrs map<string,string>, doc_id string, seq long"
 EDGES = "doc_id string, n long, src string, src_kind string, rel string, dst string, dst_kind string, valid_from date, only_if string"
@@ -39,33 +36,22 @@ def entity_id(key: Column, is_document: Column) -> Column:
     return F.concat(F.lit("e_"), F.substring(F.sha2(F.concat(is_document.cast("string"), F.lit(":"), key), 256), 1, 16))
 
 
-@dataclass
-class GraphStore:
-    spark: SparkSession
-    path: str
-
+class GraphStore(Batches):
     def write(self, batch: int, mentions: DataFrame, edges: DataFrame) -> None:
-        """A batch as a unit: both tables, then the mark that makes them visible."""
-        fitted(mentions, MENTIONS).write.mode("overwrite").parquet(f"{self.path}/mentions/batch={batch}")
-        fitted(edges, EDGES).write.mode("overwrite").parquet(f"{self.path}/edges/batch={batch}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch}")
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        marks = self.spark.read.schema("batch long").parquet(f"{self.path}/marks").distinct()
-        return self.spark.read.schema(schema + ", batch long").parquet(f"{self.path}/{name}").join(F.broadcast(marks), "batch", "left_semi")
+        self.put(batch, {"mentions": fitted(mentions, MENTIONS), "edges": fitted(edges, EDGES)})
 
     def kinds(self) -> DataFrame:
         """For each key and kind of mention what all of its mentions make: type, best name, first seq.
 
         Mentions of a hot name are aggregated where they are read; three rows a key are left."""
-        rows = self.read("mentions", MENTIONS)
+        rows = self.get("mentions", MENTIONS)
         place = F.struct("batch", "seq", "doc_id")
         best = F.max_by("name", F.struct(text.name_rank(F.col("name")).alias("r"), (-F.col("batch")).alias("b"), (-F.col("seq")).alias("s")))
         return rows.groupBy("key", "kind").agg(F.min_by("type", place).alias("type"), best.alias("name"), F.count(F.lit(1)).alias("n_mentions"))
 
     def attributes(self) -> DataFrame:
         """key, kind and the first value of each attribute."""
-        rows = self.read("mentions", MENTIONS).select("key", "kind", "batch", "seq", F.explode("attrs").alias("k", "v"))
+        rows = self.get("mentions", MENTIONS).select("key", "kind", "batch", "seq", F.explode("attrs").alias("k", "v"))
         first = rows.groupBy("key", "kind", "k").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
         return first.groupBy("key", "kind").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attrs"))
 
@@ -105,7 +91,7 @@ class GraphStore:
     def edges(self, entities: DataFrame) -> DataFrame:
         """edge_id, src, rel, dst, valid_from, doc_id, n, closed: proposals whose ends and types fit what is stored,
         each once a document; an edge that a merge turned into a loop is closed."""
-        rows = self.read("edges", EDGES)
+        rows = self.get("edges", EDGES)
         for end in ("src", "dst"):
             ids = entities.select(F.col("key").alias("__key"), F.col("id").alias(f"{end}_id"), F.col("type").alias(f"{end}_type"), "is_document", "means_links")
             wants = F.when(F.col(f"{end}_kind") == "link", F.col("means_links")).otherwise(F.col("is_document") == (F.col(f"{end}_kind") == "note"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,27 +103,83 @@ def recent_thresholds(answers: DataFrame, by: list[str], now: str, days: int = A
     return answers.filter(F.col("ts") >= since).groupBy(*by).agg(F.countDistinct("threshold").alias("n_recent"))
 
 
-def ledger(questions: DataFrame, by: str, width: float, most: int = MOST_ATTESTED, days: int = ATTESTED_DAYS) -> DataFrame:
-    """Each question (by, seq, ts, threshold, answer) with allowed, lo and hi after it.
+def of_keys(stored: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """Stored rows of the keys that the new rows have; null is a key."""
+    keys = rows.select(F.col(by).alias("__key")).distinct()
+    return stored.join(keys, stored[by].eqNullSafe(keys["__key"]), "left_semi")
+
+
+LEDGER_ROW = "seq long, allowed boolean, reason string, lo double, hi double, attested array<struct<t:double,at:long>>"
+TRACE = pa.list_(pa.struct([("t", pa.float64()), ("at", pa.int64())]))
+
 
-    A refused question isn't recorded, so what is allowed depends on earlier decisions: a fold over
-    each key, in a grouped Arrow function.
-    """
-    schema = f"{by} {questions.schema[by].dataType.simpleString()}, seq long, allowed boolean, lo double, hi double"
+def walked_ledger(questions: DataFrame, by: str, state: DataFrame | None = None, most: int = MOST_ATTESTED, days: int = ATTESTED_DAYS) -> DataFrame:
+    """Questions (by, seq, ts, threshold, answer, signed, width) with allowed, reason, lo and hi, and for each
+    key its state after them (seq null, with attested).  A question without threshold narrows nothing; a signed
+    answer isn't counted among the attested thresholds.  state: by, lo, hi, attested, from earlier questions.
+
+    A refused question leaves no trace, so what is allowed depends on earlier decisions: sorted partitions
+    are walked batch by batch.  Of a key only the interval and the thresholds of the last days are held, and
+    of those there are never more than most."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = questions.select(by, F.lit(1).alias("kind"), "seq", micros.alias("at"), "threshold", "answer", F.coalesce("signed", F.lit(False)).alias("signed"), F.coalesce("width", F.lit(0.0)).alias("width"))
+    if state is not None:
+        rows = rows.unionByName(of_keys(state, questions, by).select(by, F.lit(0).alias("kind"), "lo", "hi", "attested"), allowMissingColumns=True)
+    else:
+        rows = rows.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "attested": F.lit(None).cast("array<struct<t:double,at:long>>")})
+    names = [by, "kind", "seq", "at", "threshold", "answer", "signed", "width", "lo", "hi", "attested"]
+    ordered = rows.select(*names).repartition(by).sortWithinPartitions(by, "kind", "seq")
+    span = days * 86_400_000_000
+    low_end, high_end = float("-inf"), float("inf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, started, lo, hi, seen, field = None, False, low_end, high_end, {}, None
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, told, out = float("-inf"), float("inf"), [], []
-        for key, seq, ts, t, yes in group.sort_values("seq")[[by, "seq", "ts", "threshold", "answer"]].itertuples(index=False):
-            low, high = (max(lo, t), hi) if yes else (lo, min(hi, t))
-            recent = {x for x, when in told if when >= ts - pd.Timedelta(days=days)}
-            ok = high - low >= width and (t in recent or len(recent) < most)
-            if ok:
-                lo, hi = low, high
-                told.append((t, ts))
-            out.append((key, seq, ok, None if lo == float("-inf") else lo, None if hi == float("inf") else hi))
-        return pd.DataFrame(out, columns=[by, "seq", "allowed", "lo", "hi"])
+        def shown(*values):
+            return (*values, None if lo == low_end else lo, None if hi == high_end else hi)
 
-    return questions.select(by, "seq", "ts", "threshold", "answer").groupBy(by).applyInPandas(run, schema)
+        def closing():
+            return (key, None, None, *shown(None), [{"t": t, "at": at} for t, at in sorted(seen.items())])
+
+        def packed(out):
+            columns = list(zip(*out))
+            kinds = [field.type, pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.float64(), TRACE]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[by, "seq", "allowed", "reason", "lo", "hi", "attested"])
+
+        for batch in batches:
+            field, out = batch.schema.field(0), []
+            for who, kind, seq, at, t, yes, signed, width, low, high, attested in zip(*(c.to_pylist() for c in batch.columns)):
+                if not started or who != key:
+                    if started:
+                        out.append(closing())
+                    key, started, lo, hi, seen = who, True, low_end, high_end, {}
+                if kind == 0:
+                    lo, hi, seen = low_end if low is None else low, high_end if high is None else high, {x["t"]: x["at"] for x in attested or ()}
+                    continue
+                if t is None or yes is None:
+                    out.append((key, seq, True, *shown(None), None))
+                    continue
+                low, high = (max(lo, t), hi) if yes else (lo, min(hi, t))
+                seen = {x: when for x, when in seen.items() if when >= at - span}
+                reason = "too narrow" if high - low < width else "too many thresholds" if not signed and t not in seen and len(seen) >= most else None
+                if reason is None:
+                    lo, hi = low, high
+                    if not signed:
+                        seen[t] = at
+                out.append((key, seq, reason is None, *shown(reason), None))
+            if out:
+                yield packed(out)
+        if started:
+            yield packed([closing()])
+
+    kind = questions.schema[by].dataType.simpleString()
+    return ordered.mapInArrow(run, f"{by} {kind}, {LEDGER_ROW}")
+
+
+def ledger(questions: DataFrame, by: str, width: float, most: int = MOST_ATTESTED, days: int = ATTESTED_DAYS) -> DataFrame:
+    """Each question (by, seq, ts, threshold, answer) with allowed, lo and hi after it."""
+    asked = questions.select(by, "seq", "ts", "threshold", "answer", F.lit(False).alias("signed"), F.lit(float(width)).alias("width"))
+    return walked_ledger(asked, by, None, most, days).filter("seq is not null").select(by, "seq", "allowed", "lo", "hi")
 
 
 def wallet_status(credentials: DataFrame, by: list[str]) -> DataFrame:
@@ -170,26 +225,32 @@ def entry_hash(previous: Column, entry: Column) -> Column:
     return F.sha2(F.concat(previous, entry).cast("binary"), 256)
 
 
-def chained(entries: DataFrame, by: str, seq: str = "seq", body: str = "body") -> DataFrame:
-    """Entries of each log with prev_hash and entry_hash.  A chain is serial, so a log is one task's; of it
-    only the last hash is held, from batch to batch.  verify() is parallel over all entries."""
-    given = entries.select(by, seq, body)
-    names = [*given.columns, "prev_hash", "entry_hash"]
+def chained(entries: DataFrame, by: str, seq: str = "seq", body: str = "body", heads: DataFrame | None = None) -> DataFrame:
+    """Entries of each log with prev_hash and entry_hash, after the heads (by, entry_hash) that logs have, if any.
+    A chain is serial, so a log is one task's; of it only the last hash is held, from batch to batch.  verify()
+    is parallel over all entries."""
+    given = entries.select(by, F.lit(1).alias("kind"), seq, body)
+    if heads is not None:
+        known = of_keys(heads, entries, by)
+        given = given.unionByName(known.select(by, F.lit(0).alias("kind"), F.col("entry_hash").alias(body)), allowMissingColumns=True)
+    names = [by, seq, body, "prev_hash", "entry_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, last, started = None, None, False
         for batch in batches:
-            before, after = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            before, after, own = [], [], []
+            for key, kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 if not started or key != log:
                     log, last, started = key, GENESIS, True
+                own.append(kind == 1)
                 before.append(last)
-                last = None if last is None or text is None else hashlib.sha256((last + text).encode()).hexdigest()
+                last = text if kind == 0 else None if last is None or text is None else hashlib.sha256((last + text).encode()).hexdigest()
                 after.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=names)
+            done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(before, pa.string()), pa.array(after, pa.string())], names=names)
+            yield done.filter(pa.array(own, pa.bool_()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.repartition(by).sortWithinPartitions(by, seq, body).mapInArrow(run, f"{kinds}, prev_hash string, entry_hash string")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "kind")
+    return given.repartition(by).sortWithinPartitions(by, "kind", seq, body).mapInArrow(run, f"{kinds}, prev_hash string, entry_hash string")
 
 
 def verified(chain: DataFrame, by: str, seq: str = "seq", body: str = "body") -> DataFrame:

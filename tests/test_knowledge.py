@@ -241,3 +241,37 @@ def test_display_and_mentions(spark):
     assert [r[0] for r in rows.select(text.display_name(F.col("t"))).collect()] == ["Ravi Kumar", "Ravi Kumar", "RK"]
     one = spark.range(1).select(text.mentions(F.lit("paid ravi today"), F.lit("ravi kumar"), F.lit(True)), text.mentions(F.lit("paid ravi today"), F.lit("ravi kumar"), F.lit(False)), text.escaped(F.lit("</Chunk>"))).first()
     assert tuple(one) == (True, False, "‹/Chunk>")
+
+
+AMOUNTS = [
+    ("₹15,000", 15000), ("Rs. 15,000/-", 15000), ("Rs15,000", 15000), ("INR 5k", 5000), ("₹50K", 50000), ("1,20,000", 120000), ("120,000", 120000), ("2 lakhs", 200000), ("3 lac", 300000), ("5 L", 500000), ("1.5 crore", 15000000),
+]
+UNCHANGED = [
+    "between 50-60k a month", "from ₹50,000 to ₹60,000", "on 2026-08-14 at 21:03", "call 98450 12345", "scored 91.3% in 2026", "items 1,2,3", "5 l of milk, 15kg rice", "12 hours 5 min", "no amounts here", "50k – 60k", "v1.2.3,4", "a15,000 1,000x_", "",
+]
+
+
+def test_scanned_amounts(spark):
+    from tessera.functions.scan import plain_amounts
+
+    for given, want in AMOUNTS:
+        assert plain_amounts(given) == str(want) and one(spark, given, parse.parse_amount) == want
+    for given in UNCHANGED:
+        assert plain_amounts(given) == given.replace("1,000x_", "1000x_") and one(spark, given, parse.parse_amount) is None
+    assert plain_amounts("Rent: Rs. 15,000 payable on the 5th; ₹1.2 lakh, then 2 cr.") == "Rent: 15000 payable on the 5th; 120000, then 20000000."
+
+
+@pytest.mark.parametrize("line, want", [("Email: a", True), ("Phone no: 1", True), ("My contact number = 5", True), ("+91 (98450) 123-45.67", True), ("98450 1234", False), ("a@b", True), ("hotel: x", False), ("email me", False)])
+def test_contact_lines(spark, line, want):
+    assert one(spark, line, text.is_contact_line) is want
+
+
+@pytest.mark.parametrize("name, want", [("my_salary", "monthly_income"), ("rent_now", "rent_amount"), ("current_house_rent_now", "rent_amount"), ("dob", "date_of_birth"), ("my", "my"), ("new_thing", "new_thing")])
+def test_field_synonyms(spark, name, want):
+    assert one(spark, name, text.canonical_field) == want
+
+
+@pytest.mark.parametrize("quote, want", [("if my friends ask, unless the rent, as long as I live, is at most 900", ("rent_amount", ">", 900)), ("Renew as long as the rent is at most 15k", ("rent_amount", "<=", 15000)), ("Decided to move out in January.", None), ("if rent is fine. It is under 500", None), ("if rent stays over 5 or under 3", ("rent_amount", ">", 5))])
+def test_more_conditions(spark, quote, want):
+    got = one(spark, quote, parse.condition)
+    assert (tuple(got) if got else None) == want

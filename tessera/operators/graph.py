@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_key, name_rank
+from tessera.sources.shared import kept
 
 # fixed values: domain and range of each relation, None for any type
 NOT_PERSON = ["PROJECT", "CONCEPT", "DECISION", "ORG", "PLACE", "DOCUMENT", "OBLIGATION", "EVENT"]
@@ -36,15 +37,16 @@ def relation_allowed(rel, src_type, dst_type):
 
 
 def neighbourhood(edges: DataFrame, start: list[str], hops: int) -> DataFrame:
-    """id and hop of all nodes within hops of the start, edges taken both ways: one join a hop with the
-    frontier only, which leaves out what was seen."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct().persist()  # read at each hop
-    seen = spark.createDataFrame([(s, 0) for s in start], "id string, hop int")
+    """id and hop of all nodes within hops of the start, edges taken both ways.  A hop joins the edges with the last
+    frontier only, leaves out what was seen, and stores the new frontier, so that no hop is planned again."""
+    seen = edges.sparkSession.createDataFrame([(s, 0) for s in start], "id string, hop int")
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        ends = frontier.select("id")
+        out = edges.join(ends, edges["src"] == ends["id"], "left_semi").select(F.col("dst").alias("id"))
+        back = edges.join(ends, edges["dst"] == ends["id"], "left_semi").select(F.col("src").alias("id"))
+        reached = out.union(back).distinct().join(seen, "id", "left_anti")
+        frontier = kept(reached.withColumn("hop", F.lit(hop)))
         seen = seen.union(frontier)
     return seen
 

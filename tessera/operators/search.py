@@ -6,10 +6,13 @@ filter, a join with the per-token document frequencies of a handful of tokens, a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.sources.shared import kept
 
 K1, B = 1.2, 0.75
 COSINE_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
@@ -34,27 +37,24 @@ def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
 def bm25(chunks: DataFrame, key: str, query: list[str], text: str = "text") -> DataFrame:
     """key and bm25 of all chunks that hold a query token.
 
-    Term frequencies of the query's tokens are taken within the row, so no posting of another token
-    is ever made; statistics of the corpus are one aggregate row.
+    Term frequencies of the query's tokens are taken within the row, so no posting of another token is ever
+    made.  One pass over the texts keeps the few numbers of the rows that hold a token and observes the
+    corpus's statistics, a handful of numbers, on the way.
     """
     terms = sorted(set(query))
-    counted = term_lists(chunks, key, text).select(
-        key,
-        F.size("terms").alias("dl"),
-        *[occurrences(F.col("terms"), w).alias(f"tf{i}") for i, w in enumerate(terms)],
-    ).persist()  # a few numbers a chunk, read for the statistics and the scores: texts are tokenised once
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    )
-    scored = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))
+    if not terms:
+        return chunks.select(key, F.lit(0.0).alias("bm25")).limit(0)
+    counted = term_lists(chunks, key, text).select(key, F.size("terms").alias("dl"), *[occurrences(F.col("terms"), w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]]
+    hits = kept(counted.observe(seen, *sums).filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0))
+    stats = seen.get
     total = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select(key, total.alias("bm25"))
+        tf, df = F.col(f"tf{i}"), stats[f"df{i}"]
+        idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (stats["avgdl"] or 1.0)))
+    return hits.select(key, total.alias("bm25"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph_store, grounding, rules, stored
 from tessera.plans.registry import query
-from tessera.plans.stream_queries import event_stream, shared_folder
+from tessera.plans.stream_queries import event_stream
+from tessera.sources.shared import shared_folder
 from tessera.sources.tables import read
 
 OWNER = "sam rao"
@@ -20,11 +21,8 @@ def pick(values: list, index) -> F.Column:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one run's tables; checkpoints of the session lie beside it."""
-    shared = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run's tables."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- grounding: a chunk for each customer, and proposals of which some aren't in it

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import PurePosixPath
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans import knowledge_queries  # noqa: F401
 from tessera.plans.registry import query
+from tessera.sources.shared import shared_folder
 from tessera.sources.tables import read
 from tessera.streaming import stateful
 
@@ -30,14 +30,6 @@ def finished(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only in a local session that names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (named or "file://" + tempfile.mkdtemp(prefix="tessera-")).rstrip("/")
-
-
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """events as a stream, whether the table is a file of the folder or a folder of files."""
     table = read(spark, d, "events")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 # fixed values
@@ -19,6 +19,10 @@ RANGE_MARKS = ["-", "–", "—", "to"]
 START_WORDS = ["from", "starting", "starts", "start", "effective", "since", "wef", "in"]
 #: What may stand between such a word and the date.
 FILLERS = ["the", "of", "1", "st", "first"]
+BEFORE_A_MONTH = ["in", "by", "on", "before", "until"]
+#: Relative days, by their words; and what "in 3 ..." counts.
+RELATIVE_DAYS = {"tomorrow": 1, "next week": 7, "next month": 30}
+UNIT_DAYS = {"day": 1, "days": 1, "week": 7, "weeks": 7}
 #: Layouts of a date, as steps: Y M D numbers, YY a year of two digits too, mon a month's name, _ spaces, sep a
 #: mark between numbers; a step with ? may be missing.
 LAYOUTS = ["Y4 - M2 - D2", "D th? _ mon .? ,? _ Y4", "mon .? _ D th? ,? _ Y4", "D sep M sep YY"]
@@ -226,3 +230,61 @@ def start_in(text: str, reference: date) -> date:
     full = full_dates(atoms)
     starts = sorted([(d.first, d.day) for d in full] + bare_months(atoms, full, reference))
     return next((day for i, day in starts if is_cued(atoms, i)), full[0].day if full else reference)
+
+
+def words_from(atoms: Atoms, i: int) -> list[str]:
+    """The next three words from atom i, spaces left out; something else ends them."""
+    found: list[str] = []
+    while len(found) < 3 and (joins(atoms[i]) or (found and atoms[i].isspace())):
+        if not atoms[i].isspace():
+            found.append(atoms[i].lower())
+        i += 1
+    return found
+
+
+def relative_day(atoms: Atoms) -> int | None:
+    """Days from today that the first relative words mean."""
+    for i in range(len(atoms)):
+        if not joins(atoms[i]) or joins(atoms[i - 1]):
+            continue
+        words = words_from(atoms, i)
+        for n in (1, 2):
+            days = RELATIVE_DAYS.get(" ".join(words[:n]))
+            if days:
+                return days
+        if len(words) == 3 and words[0] == "in" and is_number(words[1]) and len(words[1]) <= 3 and words[2] in UNIT_DAYS:
+            return int(words[1]) * UNIT_DAYS[words[2]]
+    return None
+
+
+def later_day(day: int, month: int, today: date) -> date | None:
+    """The next such day after today, this year or the next."""
+    for year in (today.year, today.year + 1):
+        try:
+            found = date(year, month, day)
+        except ValueError:
+            return None
+        if found > today:
+            return found
+    return None
+
+
+def reminder_day(text: str, today: date) -> date | None:
+    """When an instruction means: relative words first, then a full date, a day and month to come, a month after a
+    word like "by"."""
+    atoms = Atoms(text)
+    days = relative_day(atoms)
+    if days is not None:
+        return today + timedelta(days=days)
+    full = full_dates(atoms)
+    if full:
+        return full[0].day
+    for i in range(len(atoms)):
+        got = matched(atoms, i, "D th? _ mon") or matched(atoms, i, "D th? _ of _ mon") if is_number(atoms[i]) and not joins(atoms[i - 1]) else None
+        if got and (found := later_day(got[1]["D"], got[1]["M"], today)):
+            return found
+    for i, atom in enumerate(atoms.all):
+        month = MONTH_NUMBERS.get(atoms[i + 2].lower()) if atom.lower() in BEFORE_A_MONTH and atoms[i + 1].isspace() else None
+        if month and not joins(atoms[i - 1]) and not joins(atoms[i + 3]):
+            return next_first(month, today)
+    return None

@@ -192,9 +192,16 @@ def ledger_recent_distinct(spark: SparkSession, d: str) -> DataFrame:
     return rules.recent_thresholds(answers(spark, d), ["user_id"], "2024-01-28 00:00:00", 7)
 
 
-@query()
+LEDGER = f"""{ANSWERS}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM answers),
+f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BOOLEAN AS allowed, '-inf'::DOUBLE AS lo, 'inf'::DOUBLE AS hi, []::STRUCT(t DOUBLE, w TIMESTAMP)[] AS seen FROM (SELECT DISTINCT user_id FROM q)
+  UNION ALL SELECT user_id, n, seq, ok, CASE WHEN ok THEN low ELSE lo END, CASE WHEN ok THEN high ELSE hi END, CASE WHEN ok THEN list_append(list_filter(seen, lambda x: x.t <> threshold), {{'t': threshold, 'w': ts}}) ELSE seen END
+  FROM (SELECT *, high - low >= 25000 AND (len(list_filter(seen, lambda x: x.t = threshold AND x.w >= ts - INTERVAL 30 DAY)) > 0 OR len(list_filter(seen, lambda x: x.w >= ts - INTERVAL 30 DAY)) < 3) AS ok
+    FROM (SELECT q.*, f.lo, f.hi, f.seen, CASE WHEN q.answer THEN greatest(f.lo, q.threshold) ELSE f.lo END AS low, CASE WHEN q.answer THEN f.hi ELSE least(f.hi, q.threshold) END AS high FROM f JOIN q ON q.user_id = f.user_id AND q.n = f.n + 1)))"""
+
+
+@query(f"WITH RECURSIVE {LEDGER} SELECT user_id, seq, allowed, nullif(lo, '-inf'::DOUBLE) AS lo, nullif(hi, 'inf'::DOUBLE) AS hi FROM f WHERE n > 0")
 def ledger_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Refused questions leave no trace, so prefix sums are wrong; tests hold the fold."""
+    """Refused questions leave no trace, so prefix sums are wrong; the SQL is recursive."""
     return rules.ledger(answers(spark, d), "user_id", rules.LEAST_WIDTH["income"])
 
 

@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import knowledge_queries  # noqa: F401
+from tessera.plans import knowledge_queries
 from tessera.plans.registry import query
 from tessera.sources.shared import shared_folder
 from tessera.sources.tables import read
@@ -45,7 +45,7 @@ def stream_replay_guard(spark: SparkSession, d: str) -> DataFrame:
     return finished(kept.select("event_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH RECURSIVE {knowledge_queries.LEDGER} SELECT user_id, seq, allowed FROM f WHERE n > 0")
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The same decisions as ledger_fold."""
     secret, t = F.col("user_id") * 700 + 20000, (F.col("event_id") % 97 * 1000 + 5000).cast("double")

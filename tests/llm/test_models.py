@@ -3,6 +3,7 @@
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid_crf, media, quality_gbt
@@ -130,3 +131,91 @@ def test_copies(spark):
     assert all(out[i]["class_id"] == i for i in [*range(12), 200, 201, 202]) and None not in out
     assert out[0]["n_links"] == 1 and out[11]["n_links"] == 0
     assert media.copies(spark.createDataFrame([], media.IMAGES)).count() == 0
+
+
+def edited(rng, image):
+    """A crop, a turn, a change of brightness, noise, or several of them."""
+    out = image
+    for kind in rng.permutation(5)[: rng.integers(1, 3)]:
+        if kind == 0:
+            y, x = rng.integers(0, 12, 2)
+            out = out[y : out.shape[0] - rng.integers(0, 10), x : out.shape[1] - rng.integers(0, 10)]
+        elif kind == 1:
+            out = np.rot90(out, rng.integers(1, 4))
+        elif kind == 2:
+            out = np.clip(out * rng.uniform(0.75, 1.2) + rng.uniform(-15, 15), 0, 255)
+        elif kind == 3:
+            out = np.clip(out + rng.normal(0, 3, out.shape), 0, 255)
+    return np.ascontiguousarray(out).astype(np.uint8)
+
+
+def slow_links(points):
+    """All pairs of images: all corners with all, within RADIUS bits; LEAST corners that agree on the move."""
+    by = {}
+    for r in points:
+        by.setdefault(r["id"], []).append(r)
+    found = set()
+    for a in by:
+        for b in by:
+            if a >= b:
+                continue
+            votes = {}
+            for p in by[a]:
+                for q in by[b]:
+                    if ((p["d0"] ^ q["d0"]) & (2**64 - 1)).bit_count() + ((p["d1"] ^ q["d1"]) & (2**64 - 1)).bit_count() > media.RADIUS:
+                        continue
+                    angle, ratio = (q["turn"] - p["turn"]) * 2 * np.pi / media.TURNS, media.SCALES[p["scale"]] / media.SCALES[q["scale"]]
+                    dx = q["x"] - ratio * (np.cos(angle) * p["x"] - np.sin(angle) * p["y"])
+                    dy = q["y"] - ratio * (np.sin(angle) * p["x"] + np.cos(angle) * p["y"])
+                    width = media.TURN_BIN * 2 * np.pi / media.TURNS
+                    for hx, hy, ha in product((0.0, 0.5), repeat=3):
+                        key = (p["scale"] - q["scale"], np.floor(dx / media.SHIFT_BIN + hx), hx, np.floor(dy / media.SHIFT_BIN + hy), hy, np.floor(angle % (2 * np.pi) / width + ha), ha)
+                        votes.setdefault(key, set()).add(p["point"])
+            if any(len(v) >= media.LEAST for v in votes.values()):
+                found.add((a, b))
+    return found
+
+
+def classes(links, ids):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("most", [16, 2])
+def test_links_against_all_pairs(spark, monkeypatch, most):
+    """Links are among those of all pairs; nine in ten of these are found, and of the pairs in one class."""
+    monkeypatch.setattr(media, "MOST", most)
+    rng = np.random.default_rng(8)
+    images = [picture(i).astype(np.uint8) for i in range(10)]
+    images += [edited(rng, images[i % 10]) for i in range(50)]
+    rows = [(k, v.shape[1], v.shape[0], v.tobytes()) for k, v in enumerate(images)]
+    points = media.descriptors(spark.createDataFrame(rows, media.IMAGES)).cache()
+    want = slow_links(points.collect())
+    got = {(r["a"], r["b"]) for r in media.linked_images(points).collect()}
+    points.unpersist()
+    ids = range(len(images))
+    a, b = classes(want, ids), classes(got, ids)
+    pairs = [(i, j) for i in ids for j in ids if i < j and a[i] == a[j]]
+    together = sum(b[i] == b[j] for i, j in pairs)
+    print("links", len(got & want), "of", len(want), "pairs in one class", together, "of", len(pairs))
+    assert got <= want and together >= 0.9 * len(pairs)
+    if most == 16:
+        assert len(got) >= 0.9 * len(want)
+
+
+def test_crowded_entries_lose_no_member(spark, monkeypatch):
+    """Images that share an entry with a crowd but agree only with one another are still one class."""
+    monkeypatch.setattr(media, "MOST", 2)
+    rng = np.random.default_rng(5)
+    common, own = rng.integers(-(2**62), 2**62, 2), rng.integers(-(2**62), 2**62, (4, 6, 2))
+    rows = []
+    for i in range(12):
+        group = i % 4
+        rows.append((i, 0, float(rng.uniform(0, 500)), float(rng.uniform(0, 500)), 0, 0, int(common[0]), int(common[1])))  # shared by all, at odd places
+        rows += [(i, 1 + k, 10.0 * k, 7.0 * k, 0, 0, int(own[group, k, 0]), int(own[group, k, 1])) for k in range(6)]
+    links = {(r["a"], r["b"]) for r in media.linked_images(spark.createDataFrame(rows, media.POINTS)).collect()}
+    root = classes(links, range(12))
+    assert [root[i] for i in range(12)] == [i % 4 for i in range(12)]

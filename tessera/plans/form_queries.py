@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import forms, text
-from tessera.operators import graph
+from tessera.functions import forms, parse, text
+from tessera.operators import graph, views
 from tessera.plans.registry import query
 from tessera.plans.text_queries import TOKENS
 from tessera.sources.tables import read
@@ -145,3 +145,34 @@ def allowed_relations(spark: SparkSession, d: str) -> DataFrame:
 
     ok = graph.relation_allowed(pick("EMPLOYED_BY", "EMPLOYED_BY", "RELATES_TO", "MENTIONED_IN"), pick("PERSON", "ORG", "EVENT", "ORG"), pick("ORG", "ORG", "PLACE", "PERSON"))
     return read(spark, d, "events").select("event_id", ok.alias("allowed"))
+
+
+@query("""SELECT c_custkey, 'see ' || CASE WHEN c_custkey % 3 = 0 THEN '‹/' || 'Chunk' WHEN c_custkey % 3 = 1 THEN '‹' || 'context' ELSE '<b' END || '> ' || c_name AS safe FROM customer""")
+def escaped_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of a prompt's own parts made harmless; other marks stay."""
+    tag = F.when(F.col("c_custkey") % 3 == 0, "</Chunk").when(F.col("c_custkey") % 3 == 1, "<context").otherwise("<b")
+    return read(spark, d, "customer").select("c_custkey", text.escaped(F.concat(F.lit("see "), tag, F.lit("> "), "c_name")).alias("safe"))
+
+
+@query("""WITH s AS (SELECT p_partkey, 'we saw ' || CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN split_part(p_name, ' ', 1) || ' alone' ELSE 'x' || p_name || 'x' END || ' today' AS segment, p_name AS key, p_partkey % 2 = 0 AS person FROM part)
+SELECT p_partkey, contains(' ' || segment || ' ', ' ' || key || ' ') OR (person AND contains(key, ' ') AND contains(' ' || segment || ' ', ' ' || split_part(key, ' ', 1) || ' ')) AS named FROM s""")
+def segment_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Is a key named in a segment as whole words, a person's by the first name too?"""
+    said = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.concat(F.substring_index("p_name", " ", 1), F.lit(" alone"))).otherwise(F.concat(F.lit("x"), "p_name", F.lit("x")))
+    segment = F.concat(F.lit("we saw "), said, F.lit(" today"))
+    return read(spark, d, "part").select("p_partkey", text.mentions(segment, F.col("p_name"), F.col("p_partkey") % 2 == 0).alias("named"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'mcp' ELSE 'direct' END AS channel FROM events")
+def request_channels(spark: SparkSession, d: str) -> DataFrame:
+    header = F.when(F.col("event_id") % 3 == 0, "mcp").when(F.col("event_id") % 3 == 1, "web")
+    return read(spark, d, "events").select("event_id", views.channel(F.col("user_id") % 2 == 0, header).alias("channel"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, 'paid ' || strftime(o_orderdate, '%-d %B %Y') || ', due ' || strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') || ' or 31/02/2020' AS text, o_orderdate::DATE AS a FROM orders)
+SELECT o_orderkey, 2 AS n, a AS first, a + 40 AS last FROM t""")
+def dates_in_texts(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    said = F.concat(F.lit("paid "), F.date_format(day, "d MMMM yyyy"), F.lit(", due "), F.date_format(F.date_add(day, 40), "yyyy-MM-dd"), F.lit(" or 31/02/2020"))
+    found = read(spark, d, "orders").select("o_orderkey", parse.explicit_dates(said).alias("f"))
+    return found.select("o_orderkey", F.size("f").alias("n"), F.get("f", 0)["day"].alias("first"), F.element_at("f", -1)["day"].alias("last"))

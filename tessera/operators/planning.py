@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tessera.functions import parse, text
 from tessera.functions.parse import any_word, normalize_amounts
 from tessera.functions.scan import reminder_day
+from tessera.operators.matching import runs_of_words
 
 # fixed values: a date fact counts only if the instruction has one of its words (all lists must be met)
 DATE_WORDS = {
@@ -32,6 +33,8 @@ PROOF_WORDS = ["proof", "proofs", "attestation", "verified", "verification", "ce
 FORM_FIELDS = {"full_name": None, "date_of_birth": "date_of_birth", "employer": "employer", "monthly_income": "monthly_income", "current_rent": "rent_amount", "current_landlord": "landlord"}
 MONEY_FIELDS = ["monthly_income", "rent_amount"]
 DISCLOSABLE = ["monthly_income", "loan_default_12m", "date_of_birth", "percentage", "result", "board"]
+# fixed values: words for a contact's role and the relation that shows it
+ROLES = {"LANDLORD_OF": ["landlord", "landlady", "house owner"], "EMPLOYED_BY": ["employer", "company", "office", "hr"], "BANKS_WITH": ["bank"]}
 ADDRESS = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 
 
@@ -115,6 +118,40 @@ def plannable_facts(facts: DataFrame, as_of: str) -> DataFrame:
     return rows.groupBy("owner", "field").agg(F.max_by("value", order).alias("value"))
 
 
+def resolved_recipients(steps: DataFrame, contacts: DataFrame) -> DataFrame:
+    """steps (task_id, seq, owner, recipient, instruction) with name and address of whom the owner means: an address typed in
+    the instruction, a contact in the role that is named, a contact by name or a person by first name, else the only
+    address that was typed; null if none.
+
+    contacts: owner, pos (their order), type, name, key, email, rels; only those with an email count.  Roles and names
+    are reduced to their first contact for each owner before steps meet them by equality, so no step is paired
+    with all contacts of its owner."""
+    typed = F.regexp_extract_all("instruction", F.lit(ADDRESS), F.lit(0))
+    lower = F.transform(typed, lambda a: F.lower(a))
+    meant = F.lower(F.nullif(F.regexp_extract("recipient", ADDRESS, 0), F.lit("")))
+    own = F.filter(typed, lambda a: F.lower(a) == meant)
+    distinct = F.size(F.array_distinct(lower))
+    words = F.trim(F.regexp_replace(F.lower("recipient"), "[^a-z]+", " "))
+    rows = steps.withColumns({"__typed": F.try_element_at(own, F.lit(-1)), "__only": F.when(distinct == 1, F.try_element_at(typed, F.lit(-1))), "__words": words})
+
+    who = F.struct("pos", "name", F.col("email").alias("address"))
+    reached = contacts.filter("email is not null")
+    by_role = reached.select("owner", F.explode("rels").alias("__key"), who.alias("w")).groupBy("owner", "__key").agg(F.min("w").alias("w"))
+    first = F.when((F.col("type") == "PERSON") & F.col("key").contains(" "), F.substring_index("key", " ", 1))
+    by_name = reached.select("owner", F.explode(F.array_compact(F.array("key", first))).alias("__key"), who.alias("w")).groupBy("owner", "__key").agg(F.min("w").alias("w"))
+
+    asked = F.array_compact(F.array(*[F.when(F.col("__words").rlike(any_word(listed)), F.lit(rel)) for rel, listed in ROLES.items()]))
+    sizes = sorted(r[0] for r in by_name.select(F.size(F.split("__key", " "))).distinct().collect())
+    for column, keys, firsts in (("__role", asked, by_role), ("__named", runs_of_words(F.col("__words"), sizes) if sizes else F.array().cast("array<string>"), by_name)):
+        met = rows.select("task_id", "seq", "owner", F.explode(keys).alias("__key")).join(firsts, ["owner", "__key"])
+        rows = rows.join(met.groupBy("task_id", "seq").agg(F.min("w").alias(column)), ["task_id", "seq"], "left")
+
+    def best(part: str) -> Column:
+        return F.coalesce("__typed", F.col(f"__role.{part}"), F.col(f"__named.{part}"), "__only")
+
+    return rows.select(*steps.columns, best("name").alias("name"), best("address").alias("address"))
+
+
 def tool_asked(tool: Column, instruction: Column) -> Column:
     out = F.lit(False)
     for name, words in TOOL_WORDS.items():

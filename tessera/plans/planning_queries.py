@@ -86,3 +86,23 @@ def plannable_facts(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 6 == 0, "low").otherwise("high").alias("confidence"), F.when(k % 5 == 0, "owner_stated").otherwise("extracted").alias("source_type"),
     )
     return planning.plannable_facts(facts, TODAY)
+
+
+@query("""WITH p AS (SELECT s_suppkey % 3 AS owner, s_suppkey AS pos, (['Ravi', 'Asha', 'Meera', 'Jon'])[s_suppkey % 4 + 1] || ' ' || (['Rao', 'Shah', 'Bank'])[s_suppkey // 4 % 3 + 1] AS name, s_suppkey % 2 = 0 AS person, 's' || s_suppkey || '@mail.example' AS email, (['LANDLORD_OF', 'EMPLOYED_BY', 'BANKS_WITH'])[s_suppkey % 5 + 1] AS rel FROM supplier WHERE s_suppkey % 7 <> 1),
+r AS (SELECT owner, rel, arg_min(name, pos) AS name, arg_min(email, pos) AS email FROM p WHERE rel IS NOT NULL GROUP BY ALL), a AS (SELECT owner, lower(name) AS alias, pos, name, email FROM p UNION ALL SELECT owner, lower(regexp_extract(name, '^\w+')), pos, name, email FROM p WHERE person),
+s AS (SELECT o_custkey % 3 AS owner, o_orderkey AS k, (['my landlord', 'Ravi!', 'To Asha  RAO please', 'HR', 'w' || o_custkey || '@x.example', NULL, 'Jon, my bank manager'])[o_orderkey % 7 + 1] AS said, o_orderkey % 4 AS m, o_custkey AS c FROM orders),
+n AS (SELECT k, min(a.pos) AS pos FROM s JOIN a ON a.owner = s.owner AND contains(' ' || trim(regexp_replace(lower(said), '[^a-z]+', ' ', 'g')) || ' ', ' ' || alias || ' ') GROUP BY 1)
+SELECT s.k AS seq, CASE WHEN k % 7 = 4 AND m = 0 THEN 'W' || c || '@x.example' ELSE coalesce(r.name, p.name, CASE m WHEN 0 THEN 'W' || c || '@x.example' WHEN 3 THEN 'a@x.example' END) END AS name, CASE WHEN k % 7 = 4 AND m = 0 THEN 'W' || c || '@x.example' ELSE coalesce(r.email, p.email, CASE m WHEN 0 THEN 'W' || c || '@x.example' WHEN 3 THEN 'a@x.example' END) END AS address
+FROM s LEFT JOIN r ON r.owner = s.owner AND r.rel = CASE k % 7 WHEN 0 THEN 'LANDLORD_OF' WHEN 3 THEN 'EMPLOYED_BY' WHEN 6 THEN 'BANKS_WITH' END LEFT JOIN n USING (k) LEFT JOIN p ON p.pos = n.pos""")
+def resolved_recipients(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as contacts of three owners."""
+    s, i = read(spark, d, "supplier"), F.col("s_suppkey")
+    pick = lambda listed, at: F.get(F.array(*[F.lit(x) if isinstance(x, str) or x is None else x for x in listed]), at.cast("int"))
+    name = F.concat_ws(" ", pick(["Ravi", "Asha", "Meera", "Jon"], i % 4), pick(["Rao", "Shah", "Bank"], F.floor(i / 4) % 3))
+    rels = F.array_compact(F.array(pick(["LANDLORD_OF", "EMPLOYED_BY", "BANKS_WITH"], i % 5)))
+    contacts = s.select((i % 3).alias("owner"), i.alias("pos"), F.when(i % 2 == 0, "PERSON").otherwise("ORG").alias("type"), name.alias("name"), F.lower(name).alias("key"), F.when(i % 7 != 1, F.concat(F.lit("s"), i, F.lit("@mail.example"))).alias("email"), rels.alias("rels"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = pick(["my landlord", "Ravi!", "To Asha  RAO please", "HR", F.concat(F.lit("w"), c, F.lit("@x.example")), None, "Jon, my bank manager"], k % 7)
+    typed = pick([F.concat(F.lit("write to W"), c, F.lit("@x.example")), "write", "a@x.example and b@x.example", "tell A@x.example or a@x.example"], k % 4)
+    steps = read(spark, d, "orders").select(c.alias("task_id"), k.alias("seq"), (c % 3).alias("owner"), said.alias("recipient"), typed.alias("instruction"))
+    return planning.resolved_recipients(steps, contacts).select("seq", "name", "address")

@@ -103,3 +103,21 @@ def test_plannable_facts(spark):
             ("o", "job", 5, "y", "2026-01-01", None, "high", "owner_stated"), ("o", "gym", 6, "b", "2027-06-01", None, "high", "issuer_doc"), ("o", "gym", 7, "a", "2027-01-01", None, "high", "issuer_doc"), ("o", "old", 8, "z", "2020-01-01", "2021-01-01", "high", "issuer_doc")]
     facts = spark.createDataFrame(rows, "owner string, field string, seq long, value string, f string, t string, confidence string, source_type string").selectExpr("*", "date(f) valid_from", "date(t) valid_to")
     assert {(r["field"], r["value"]) for r in planning.plannable_facts(facts, "2026-09-20").collect()} == {("rent", "12"), ("gym", "a")}
+
+
+@pytest.mark.parametrize(
+    "recipient, instruction, want",
+    [
+        ("RAO@Mail.example", "write to Rao@mail.example or x@y.example", ("Rao@mail.example", "Rao@mail.example")), ("rao@mail.example", "write", (None, None)), ("my landlord", "write to x@y.example", ("R. Rao", "rao@mail.example")),
+        ("the house  owner", "write", ("R. Rao", "rao@mail.example")), ("our HR", "write", ("Acme", "hr@acme.example")), ("Asha", "write", ("Asha Shah", "asha@mail.example")), ("asha shah's", "write", ("Asha Shah", "asha@mail.example")),
+        ("Acme", "write", ("Acme", "hr@acme.example")), ("Big", "write", (None, None)), ("big co", "write", ("Big Co", "big@co.example")), ("Ghost", "mail x@y.example, X@y.example", ("X@y.example", "X@y.example")), (None, "mail x@y.example", ("x@y.example", "x@y.example")),
+        ("", "a@b.example c@d.example", (None, None)), ("Asha", None, ("Asha Shah", "asha@mail.example")), ("bank", "write", (None, None)),
+    ],
+)
+def test_recipients(spark, recipient, instruction, want):
+    people = [("o", 1, "PERSON", "Ghost", "ghost", None, ["BANKS_WITH"]), ("o", 2, "PERSON", "R. Rao", "r rao", "rao@mail.example", ["LANDLORD_OF"]), ("o", 3, "ORG", "Acme", "acme", "hr@acme.example", ["EMPLOYED_BY"]), ("o", 4, "PERSON", "Asha Shah", "asha shah", "asha@mail.example", []),
+              ("o", 5, "PERSON", "Asha Rao", "asha rao", "late@mail.example", ["LANDLORD_OF"]), ("o", 6, "ORG", "Big Co", "big co", "big@co.example", []), ("p", 0, "PERSON", "Asha", "asha", "other@p.example", ["LANDLORD_OF", "BANKS_WITH"])]
+    contacts = spark.createDataFrame(people, "owner string, pos int, type string, name string, key string, email string, rels array<string>")
+    steps = spark.createDataFrame([("t", 1, "o", recipient, instruction), ("t", 2, "nobody", recipient, "x")], "task_id string, seq long, owner string, recipient string, instruction string")
+    out = {r["seq"]: (r["name"], r["address"]) for r in planning.resolved_recipients(steps, contacts).collect()}
+    assert out == {1: want, 2: (None, None)}

@@ -89,7 +89,7 @@ def plannable_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT s_suppkey % 3 AS owner, s_suppkey AS pos, (['Ravi', 'Asha', 'Meera', 'Jon'])[s_suppkey % 4 + 1] || ' ' || (['Rao', 'Shah', 'Bank'])[s_suppkey // 4 % 3 + 1] AS name, s_suppkey % 2 = 0 AS person, 's' || s_suppkey || '@mail.example' AS email, (['LANDLORD_OF', 'EMPLOYED_BY', 'BANKS_WITH'])[s_suppkey % 5 + 1] AS rel FROM supplier WHERE s_suppkey % 7 <> 1),
-r AS (SELECT owner, rel, arg_min(name, pos) AS name, arg_min(email, pos) AS email FROM p WHERE rel IS NOT NULL GROUP BY ALL), a AS (SELECT owner, lower(name) AS alias, pos, name, email FROM p UNION ALL SELECT owner, lower(regexp_extract(name, '^\w+')), pos, name, email FROM p WHERE person),
+r AS (SELECT owner, rel, arg_min(name, pos) AS name, arg_min(email, pos) AS email FROM p WHERE rel IS NOT NULL GROUP BY ALL), a AS (SELECT owner, lower(name) AS alias, pos, name, email FROM p UNION ALL SELECT owner, lower(regexp_extract(name, '^[A-Za-z]+')), pos, name, email FROM p WHERE person),
 s AS (SELECT o_custkey % 3 AS owner, o_orderkey AS k, (['my landlord', 'Ravi!', 'To Asha  RAO please', 'HR', 'w' || o_custkey || '@x.example', NULL, 'Jon, my bank manager'])[o_orderkey % 7 + 1] AS said, o_orderkey % 4 AS m, o_custkey AS c FROM orders),
 n AS (SELECT k, min(a.pos) AS pos FROM s JOIN a ON a.owner = s.owner AND contains(' ' || trim(regexp_replace(lower(said), '[^a-z]+', ' ', 'g')) || ' ', ' ' || alias || ' ') GROUP BY 1)
 SELECT s.k AS seq, CASE WHEN k % 7 = 4 AND m = 0 THEN 'W' || c || '@x.example' ELSE coalesce(r.name, p.name, CASE m WHEN 0 THEN 'W' || c || '@x.example' WHEN 3 THEN 'a@x.example' END) END AS name, CASE WHEN k % 7 = 4 AND m = 0 THEN 'W' || c || '@x.example' ELSE coalesce(r.email, p.email, CASE m WHEN 0 THEN 'W' || c || '@x.example' WHEN 3 THEN 'a@x.example' END) END AS address

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import parse, text
 from tessera.functions.parse import lookup
 from tessera.operators import temporal
+from tessera.sources.shared import kept, spread
 
 # fixed values
 EXTRACTED_FROM = {"note": "from your notes", "chat": "from your WhatsApp chat", "pdf": "from an unsigned document"}
@@ -104,7 +105,8 @@ def owner_stated_lines(questions: DataFrame, facts: DataFrame, documents: DataFr
 
 def conditional(decisions: DataFrame) -> DataFrame:
     """Decisions (decision_id, owner, seq, quote, ...) that state a condition: field, op, amount."""
-    return decisions.withColumn("__c", parse.condition(F.col("quote"))).filter("__c is not null").select(*decisions.columns, "__c.*")
+    read = kept(spread(decisions, "decision_id").withColumn("__c", parse.condition(F.col("quote"))))  # read once, then filtered
+    return read.filter("__c is not null").select(*decisions.columns, "__c.*")
 
 
 def subject_stems(field: Column) -> Column:
@@ -135,7 +137,7 @@ def asked_conditions(questions: DataFrame, decisions: DataFrame) -> DataFrame:
     all for a question that speaks of decisions.  Of each stem, as of each owner, only its MOST_CHECKS oldest
     different conditions can be among a question's, so no more are kept and a common stem costs no more than a
     rare one."""
-    made = conditional(decisions).select("owner", "decision_id", "seq", "quote", *KINDS)
+    made = conditional(decisions.select("owner", "decision_id", "seq", "quote"))
     stems = F.array_except(text.stems(F.col("quote")), subject_stems(F.col("field")))
     index = oldest(made.select("owner", "decision_id", "seq", *KINDS, F.explode(stems).alias("stem")), ["owner", "stem"])
     q = questions.select("question_id", "owner", "used", text.stems(F.col("text")).alias("stems"), F.col("text").rlike("(?i)\\b(?:" + "|".join(ASKS_FOR_DECISIONS) + ")\\b").alias("general"))

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over all cores, for work that is large for their bytes: a narrow file is few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A narrow table computed once: its lineage is cut by a reliable checkpoint."""
     shared_folder(df.sparkSession)

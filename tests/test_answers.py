@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import parse
 from tessera.operators import citations, known, matching
 
 
@@ -193,3 +194,30 @@ def test_source_labels(spark, source, doc_type, source_type, signature, holder,
     row = spark.createDataFrame([(source, doc_type, source_type, signature, holder)], "source string, doc_type string, kind string, signature string, holder string")
     assert row.select(known.source_label(F.col("kind"), F.lit(True), F.col("source"), F.col("doc_type"), F.col("signature"), F.col("holder"))).first()[0] == label
     assert row.select(known.source_label(F.lit("owner_stated"), F.lit(False), *[F.lit(None).cast("string")] * 4)).first()[0] == "you told me"
+
+
+@pytest.mark.parametrize(
+    "quote, read",
+    [
+        ("Renew if the rent is less than 500 or over 900.", ("rent_amount", "<", 500)),
+        ("We stay as long as my salary is at least Rs 1,20,000", ("monthly_income", ">=", 120000)),
+        ("Unless income goes up to 5k, if rent is under 7", ("monthly_income", ">", 5000)),
+        ("if the flat is under 5; if rent rises above 6", ("rent_amount", ">", 6)),
+        ("if rent is over the moon, within 40", ("rent_amount", "<=", 40)),
+        ("if rent is under 99999999999999999999 or above 7", ("rent_amount", ">", 7)),
+        ("if rent is under 9223372036854775807", ("rent_amount", "<", 9223372036854775807)),
+        ("provided rent stays low. Below 5", None),
+        ("if-rent under 5", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_conditions(spark, quote, read):
+    c = spark.createDataFrame([(quote,)], "t string").select(parse.condition(F.col("t")).alias("c")).first()["c"]
+    assert (c and tuple(c)) == read
+
+
+def test_conditions_of_a_narrow_file_are_many_tasks(spark):
+    one = spark.createDataFrame([(f"e{i}", "u", i, f"if rent is under {i}.") for i in range(300)], "decision_id string, owner string, seq long, quote string").coalesce(1)
+    made = known.conditional(one)
+    assert made.count() == 300 and sum(n > 0 for n in made.rdd.glom().map(len).collect()) > 4

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import parse, text
 from tessera.operators import explode, search
 from tessera.plans.registry import query
+from tessera.sources.shared import spread
 from tessera.sources.tables import read
 
 QUESTION = "the house and that thing with edin"
@@ -128,7 +129,7 @@ def condition_checks(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("Renew unless rent goes above "), n))
         .otherwise(F.concat(F.lit("Salary is "), n, F.lit(" below market.")))
     )
-    c = read(spark, d, "customer").select("c_custkey", parse.condition(quote).alias("c"))
+    c = spread(read(spark, d, "customer"), "c_custkey").select("c_custkey", parse.condition(quote).alias("c"))
     return c.select("c_custkey", "c.op", "c.field", "c.amount", parse.holds(F.col("c.op"), F.lit(5000), F.col("c.amount")).alias("holds"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import parse, text
 from tessera.operators import temporal
 from tessera.operators.identity import backs
+from tessera.sources.shared import kept, spread
 
 # fixed values
 STANDARD_FIELDS = [
@@ -58,12 +59,14 @@ def standard(rows: DataFrame) -> DataFrame:
 def taught(statements: DataFrame) -> DataFrame:
     """Statements (seq, owner, statement, field, value and valid_from as proposed, today) as facts of the owner: only
     what the statement itself says, in its own words or digits."""
-    rows = standard(statements).filter("field is not null and value is not null")
-    said = parse.grounding(text.plain(F.col("statement")), text.plain(F.col("statement")), F.col("value")) == "high"
+    rows = standard(spread(statements, "seq")).withColumn("__plain", text.plain(F.col("statement")))
+    said = parse.grounding(F.col("__plain"), F.col("__plain"), F.col("value")) == "high"
     start = parse.resolve_valid_from(F.col("valid_from"), F.col("today"))
-    return rows.filter(said).select(
+    # kept before it is filtered: a filter would work all of it out again, before the rows are spread
+    read = kept(rows.select("seq", "owner", "statement", "field", "value", "today", start.alias("start"), said.alias("said")))
+    return read.filter("field is not null and value is not null and said").select(
         F.concat(F.lit("t_"), F.col("seq").cast("string")).alias("fact_id"), "seq", F.col("owner").alias("entity_id"), "field", "value",
-        F.lit("owner_stated").alias("source_type"), F.col("statement").alias("quote"), F.lit("high").alias("confidence"), F.coalesce(start, F.col("today")).alias("valid_from"),
+        F.lit("owner_stated").alias("source_type"), F.col("statement").alias("quote"), F.lit("high").alias("confidence"), F.coalesce("start", "today").alias("valid_from"),
     )
 
 

@@ -9,6 +9,7 @@ from tessera.functions import forms, parse, text
 from tessera.operators import graph, views
 from tessera.plans.registry import query
 from tessera.plans.text_queries import TOKENS
+from tessera.sources.shared import spread
 from tessera.sources.tables import read
 
 #: Part names with company suffixes, whole and cut short.
@@ -86,7 +87,7 @@ def starts_in_quotes(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("paid "), F.date_format(F.date_sub(day, 3), "d MMMM yyyy"), F.lit(" and 2001-01-01")))
         .otherwise(F.lit("in 31/02/2024 nothing, maybe"))
     )
-    return read(spark, d, "events").select("event_id", forms.valid_from_in(quote, day).alias("valid_from"))
+    return spread(read(spark, d, "events"), "event_id").select("event_id", forms.valid_from_in(quote, day).alias("valid_from"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(ts AS DATE) END AS day, CASE WHEN event_id % 2 = 0 THEN CAST(ts AS DATE) END AS grounded FROM events")
@@ -174,5 +175,5 @@ SELECT o_orderkey, 2 AS n, a AS first, a + 40 AS last FROM t""")
 def dates_in_texts(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     said = F.concat(F.lit("paid "), F.date_format(day, "d MMMM yyyy"), F.lit(", due "), F.date_format(F.date_add(day, 40), "yyyy-MM-dd"), F.lit(" or 31/02/2020"))
-    found = read(spark, d, "orders").select("o_orderkey", parse.explicit_dates(said).alias("f"))
+    found = spread(read(spark, d, "orders"), "o_orderkey").select("o_orderkey", parse.explicit_dates(said).alias("f"))
     return found.select("o_orderkey", F.size("f").alias("n"), F.get("f", 0)["day"].alias("first"), F.element_at("f", -1)["day"].alias("last"))

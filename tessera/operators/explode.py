@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIZE, OVERLAP = 600, 100
+#: Texts of a batch that are cut at once.
+TEXTS = 64
 GAP_SECONDS = 6 * 3600
 #: "18/09/26, 19:42 - ", "[18/09/26, 19:42:10] " and 12-hour forms: day, month, year, hour, minute, a or p, rest
 HEADER = "(?i)^\\[?(\\d{1,2})[/.](\\d{1,2})[/.](\\d{4}|\\d{2}),?\\s+(\\d{1,2}):(\\d{2})(?::\\d{2})?\\s*(?:([ap])\\.?\\s?m?\\.?)?\\]?\\s*(?:-\\s+)?(.*)$"
@@ -33,19 +37,26 @@ def cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return spans
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunked(texts: pd.Series) -> pd.Series:
-    """Chunk ends depend on the one before: a fold over the text, so an Arrow function."""
-
-    def one(text: str | None) -> list[str]:
-        body = (text or "").strip()
-        return [p for a, b in cuts(body, SIZE, OVERLAP) if (p := body[a:b].strip())]
-
-    return texts.map(one)
-
-
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.posexplode(chunked(F.col(text))).alias("n", "text"))
+    """Chunk ends depend on the one before: a fold over the text, in Arrow.  Of a batch only TEXTS texts at once are
+    strings of Python, so that a task's memory is one batch's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(start, TEXTS)
+                rows, numbers, parts = [], [], []
+                for row, whole in enumerate(some.column(1).to_pylist()):
+                    body = (whole or "").strip()
+                    found = [p for a, b in cuts(body, SIZE, OVERLAP) if (p := body[a:b].strip())]
+                    rows += [row] * len(found)
+                    numbers += range(len(found))
+                    parts += found
+                keys = some.column(0).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], names=[key, "n", "text"])
+
+    schema = T.StructType([docs.schema[key], T.StructField("n", T.IntegerType(), False), T.StructField("text", T.StringType())])
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def messages(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

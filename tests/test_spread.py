@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tessera.operators import memory
+from tessera.operators import explode, memory
 from tessera.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -20,3 +20,11 @@ def test_taught_statements_are_many_tasks(spark):
     rows = spark.createDataFrame([(i, "u", f"My rent is {i + 1}", "rent", str(i + 1), "", day) for i in range(200)], "seq long, owner string, statement string, field string, value string, valid_from string, today date")
     out = memory.taught(rows.coalesce(1))
     assert out.count() == 200 and out.rdd.getNumPartitions() > 4
+
+
+def test_chunks_take_few_texts_at_once(spark):
+    texts = [(i, None if i % 7 == 0 else f"Word {i} is here. " * (i % 90)) for i in range(3 * explode.TEXTS + 5)]
+    out = explode.chunks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()  # no array of a whole batch's chunks
+    want = [(i, n, (t or "").strip()[a:b].strip()) for i, t in texts for n, (a, b) in enumerate(explode.cuts((t or "").strip(), explode.SIZE, explode.OVERLAP))]
+    assert sorted(map(tuple, out.collect())) == want

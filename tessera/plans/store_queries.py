@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph_store, grounding, rules, stored
 from tessera.plans.registry import query
 from tessera.plans.stream_queries import event_stream
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import kept, shared_folder, spread
 from tessera.sources.tables import read
 
 OWNER = "sam rao"
@@ -43,8 +43,9 @@ sd AS (SELECT *, CASE WHEN NOT contains(lower(text), lower(quote)) THEN 'decisio
   WHEN NOT (list_contains(nums, day(date::DATE)) AND list_contains(nums, 2024)) THEN 'decision without a date in the text' ELSE 'kept' END AS state FROM (SELECT *, list_transform(regexp_extract_all(text, '[0-9]+'), lambda n: n::INT) AS nums FROM dp))"""
 
 
-def customer_chunks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("n"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), F.lower("c_mktsegment").alias("seg"), "c_name")
+def customer_chunks(spark: SparkSession, d: str, wanted: str) -> dict[str, DataFrame]:
+    """The wanted table and those before it; what several of the next ones read is worked out once."""
+    c = spread(read(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("n"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), F.lower("c_mktsegment").alias("seg"), "c_name")
     ann = F.concat(F.lit("Ann"), "k")
     also = F.when(F.col("k") % 4 == 0, F.concat(F.lit(" and "), ann)).otherwise("")
     day = F.concat(F.lit(".\nOn "), F.col("nk") + 1, F.lit(" May 2024 I decided to keep the "), "seg", F.lit(" plan."))
@@ -63,20 +64,25 @@ def customer_chunks(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     decided = proposals(["quote", "date"], (F.concat(lit("I decided  to keep the "), "seg", lit(" plan.")), date), (F.concat(lit("We talk to "), "c_name"), lit("2024-05-01")), (lit("I decided to keep it if"), lit("2024-05-01")))
     linked = proposals(["src", "rel", "dst"], (F.concat(ann, lit(" Lee")), lit("RELATES_TO"), F.col("c_name")), (lit("me"), lit("WORKS_ON"), F.col("c_name")), (F.col("c_name"), lit("RELATES_TO"), F.concat(ann, lit(" Lee"))), (F.concat(ann, lit(" Lee")), lit("RELATES_TO"), F.col("c_name")), (lit("Sam"), lit("RELATES_TO"), F.col("seg")))
     found = grounding.names(names, chunks, OWNER)
+    if wanted == "names":
+        return {"names": found}
+    found = kept(found)
     decisions = grounding.decisions(decided, chunks, found.filter("state = 'kept'"))
-    kept = grounding.entities(found, decisions)
-    listed = grounding.listed_relations(linked, chunks, kept, OWNER)
-    return {"chunks": chunks, "names": found, "decisions": decisions, "kept": kept, "listed": listed, "relations": grounding.relations(listed, chunks, kept)}
+    if wanted == "decisions":
+        return {"names": found, "decisions": decisions}
+    held = kept(grounding.entities(found, decisions))
+    listed = grounding.listed_relations(linked, chunks, held, OWNER)
+    return {"kept": held, "relations": grounding.relations(listed, chunks, held)}
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, pos, key, state FROM sn")
 def grounded_names(spark: SparkSession, d: str) -> DataFrame:
-    return customer_chunks(spark, d)["names"].select("doc_id", "pos", "key", "state")
+    return customer_chunks(spark, d, "names")["names"].select("doc_id", "pos", "key", "state")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, pos, rtrim(quote, '.') AS name, state FROM sd")
 def grounded_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return customer_chunks(spark, d)["decisions"].select("doc_id", "pos", "name", "state")
+    return customer_chunks(spark, d, "decisions")["decisions"].select("doc_id", "pos", "name", "state")
 
 
 RELATIONS = f"""rl AS (SELECT doc_id, '@owner' AS src, 'DECIDED' AS rel, 'i decided to keep the ' || seg || ' plan' AS dst, date::DATE AS valid_from FROM sd JOIN c USING (doc_id) WHERE state = 'kept'
@@ -89,7 +95,7 @@ RELATIONS = f"""rl AS (SELECT doc_id, '@owner' AS src, 'DECIDED' AS rel, 'i deci
 
 @query(f"WITH {CHUNKS}, {RELATIONS} SELECT * FROM rl")
 def grounded_relations(spark: SparkSession, d: str) -> DataFrame:
-    return customer_chunks(spark, d)["relations"].select("doc_id", "src", "rel", "dst", "valid_from")
+    return customer_chunks(spark, d, "relations")["relations"].select("doc_id", "src", "rel", "dst", "valid_from")
 
 
 @query("""WITH p AS (SELECT o_orderkey % 50 AS doc_id, o_orderkey AS n, o_custkey, o_orderkey % 2 = 0 AS out FROM orders), k AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 3 <> 0)
@@ -104,9 +110,9 @@ def paid_edges(spark: SparkSession, d: str) -> DataFrame:
 # ---- the stored graph: the customers' chunks in three batches, the last of them written twice
 
 def stored_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    parts = customer_chunks(spark, d)
+    parts = customer_chunks(spark, d, "relations")
     mentions, relations = graph_store.named_mentions(parts["kept"]), graph_store.named_edges(parts["relations"])
-    c = read(spark, d, "customer")
+    c = spread(read(spark, d, "customer"), "c_custkey")
     text = F.concat(F.lit("Project: [["), F.initcap(F.lower("c_mktsegment")), F.lit("]]\nSee [[Ann"), "c_custkey", F.lit("  lee|her]].\nRelated: [[File "), F.col("c_custkey") % 7, F.lit("]]"))
     notes = c.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("n/file_"), F.col("c_custkey") % 10, F.lit(".md")).alias("path"), F.lit(0).alias("n"), text.alias("text"))
     linked, edges = graph_store.note_rows(notes)

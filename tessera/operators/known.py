@@ -71,7 +71,7 @@ def known_facts(facts: DataFrame, documents: DataFrame, as_of: str) -> DataFrame
 
 def fact_chunks(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     """fact_id and n, the first chunk of the fact's document that has its quote, amounts as whole numbers."""
-    bodies = chunks.select("doc_id", "n", text.squeezed(F.lower(text.plain(F.col("text")))).alias("__body"))
+    bodies = spread(chunks, "doc_id").select("doc_id", "n", F.coalesce(text.squeezed(F.lower(text.plain(F.col("text")))), F.lit("")).alias("__body"))  # never null: a null test would work it out before it is spread
     quoted = facts.filter("quote is not null").select("fact_id", "doc_id", text.squeezed(F.lower(F.col("quote"))).alias("__quote")).filter("__quote <> ''")
     met = quoted.join(bodies, "doc_id").filter(F.col("__body").contains(F.col("__quote")))
     return met.groupBy("fact_id").agg(F.min("n").alias("n"))

@@ -39,7 +39,7 @@ def existing_evidence(edges: DataFrame, chunks: DataFrame, nodes: DataFrame) ->
     """Edges at one of the nodes whose source chunk still exists, each once."""
     ends = nodes.select(F.col("id").alias("__id")).distinct()
     near = edges.join(ends, edges["src"] == ends["__id"], "left_semi").union(edges.join(ends, edges["dst"] == ends["__id"], "left_semi"))
-    return near.join(chunks.select("source_id").distinct(), "source_id", "left_semi").distinct()
+    return near.distinct().join(chunks.select("source_id"), "source_id", "left_semi")  # a semi-join needs no distinct chunks
 
 
 def first_by(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:

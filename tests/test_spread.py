@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from tessera.operators import explode, memory
+from tessera.operators import explode, memory, views
 from tessera.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -28,3 +28,11 @@ def test_chunks_take_few_texts_at_once(spark):
     assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()  # no array of a whole batch's chunks
     want = [(i, n, (t or "").strip()[a:b].strip()) for i, t in texts for n, (a, b) in enumerate(explode.cuts((t or "").strip(), explode.SIZE, explode.OVERLAP))]
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_evidence_is_distinct_before_it_meets_chunks(spark):
+    edges = spark.createDataFrame([("a", "R", "b", "s1", False)] * 3 + [("b", "R", "a", "s2", False)], "src string, rel string, dst string, source_id string, closed boolean")
+    chunks = spark.createDataFrame([("s1",), ("s1",), ("s3",)], "source_id string")
+    out = views.existing_evidence(edges, chunks, spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert out.count() == 1
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")

@@ -6,9 +6,10 @@ brightness leave alone.  Descriptors meet in Hamming tables: one equi-join on ea
 bits.  Matches within RADIUS bits vote for the rotation, scale and shift that carry one image to the
 other; two images are linked when LEAST matches agree.  Classes are connected components.
 
-Images with equal pixels are one node from the start.  A table entry shared by more than MOST
-images isn't paired; there each image meets the least one, so a large group of copies costs
-linear work and still meets in one class.
+Images with equal pixels are one node from the start.  Images with a part that over MOST corners
+share are the crowd: there pairs of corners would be too many rows, so the images meet in blocks and
+their matches and votes stay in the task, which tells each image's number of links and joins classes.
+No pair of images that share a part is left out.
 
 Defined cases: an image that is null, damaged or without corners is a class of its own (with its
 equal copies); ties between corners go to the upper, then left one; rows with a null id are left
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ SCALES = (1.0, 0.75, 0.5)
 CORNERS, REACH, TURNS, BITS = 10, 7, 24, 128
 RADIUS, LEAST = 14, 5
 MOST = 16
+BLOCK, LEAST_BLOCKS, STEP = 8192, 4, 500_000
 SHIFT_BIN, TURN_BIN = 8.0, 3
 SIDE, GRID = 64, 8
 IMAGES = "id long, width int, height int, pixels binary"
@@ -144,25 +148,155 @@ def part_keys():
     return F.array(*[F.struct(F.lit(k).alias("part"), v.alias("bits")) for k, v in enumerate((F.col("d0").bitwiseAND(low), F.col("d1").bitwiseAND(low), high))])
 
 
-def matches(points: DataFrame) -> DataFrame:
+def keyed(points: DataFrame) -> DataFrame:
+    return points.select("*", F.inline(part_keys()))
+
+
+def crowded(points: DataFrame) -> DataFrame:
+    """Ids of the images with a part that over MOST corners share."""
+    sizes = keyed(points).groupBy("part", "bits").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
+    many = sizes.filter((F.col("low") < F.col("high")) & (F.col("n") > MOST)).select("part", "bits")
+    return cut(keyed(points).join(many.hint("merge"), ["part", "bits"], "left_semi").select("id").distinct())
+
+
+def matches(points: DataFrame, crowd: DataFrame | None = None) -> DataFrame:
     """For pairs of images a < b: the matched corners, at least LEAST of them (at most all of a with all
-    of b, a fixed number)."""
-    keyed = points.select("*", F.inline(part_keys()))
-    sizes = cut(keyed.groupBy("part", "bits").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"))
-    shared = written(keyed.join(sizes.drop("high").hint("merge"), ["part", "bits"]), "shared")
-    few, many = shared.filter(F.col("n") <= MOST), shared.filter(F.col("n") > MOST)
-    found = None
-    for left, right in ((few, few), (many.filter("id = low"), many)):
-        a, b = left.alias("a"), right.alias("b")
-        apart = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
-        pairs = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id")) & (apart <= RADIUS))
-        one = pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("id", "point", "x", "y", "scale", "turn")])
-        found = one if found is None else found.union(one)
+    of b, a fixed number).  Pairs of two images of the crowd (id) are left out."""
+    flagged = points.withColumn("busy", F.lit(False)) if crowd is None else points.join(crowd.withColumn("busy", F.lit(True)).hint("merge"), "id", "left").withColumn("busy", F.coalesce("busy", F.lit(False)))
+    entries = keyed(flagged)
+    meet = entries.groupBy("part", "bits").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bool_and("busy").alias("all")).filter("low < high and not all").select("part", "bits")
+    shared = written(entries.join(meet.hint("merge"), ["part", "bits"], "left_semi"), "shared")
+    a, b = shared.alias("a"), shared.alias("b")
+    apart = F.bit_count(F.col("a.d0").bitwiseXOR(F.col("b.d0"))) + F.bit_count(F.col("a.d1").bitwiseXOR(F.col("b.d1")))
+    pairs = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.id") < F.col("b.id")) & ~(F.col("a.busy") & F.col("b.busy")) & (apart <= RADIUS))
+    found = pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("id", "point", "x", "y", "scale", "turn")])
     ends = [c for c in found.columns if not c.startswith("id")]
     together = found.groupBy("id_a", "id_b").agg(F.collect_set(F.struct(*ends)).alias("m")).filter(F.size("m") >= LEAST)
     return together.select("id_a", "id_b", F.inline("m"))
 
 
+class Block:
+    """Corners of some images as flat arrays, the images by id."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, corners: dict[str, np.ndarray]):
+        order = np.argsort(ids, kind="stable")
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.ids, sizes = ids[order], sizes[order]
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        rows = np.repeat(first[order] - self.start[:-1], sizes) + np.arange(self.start[-1])
+        self.image = np.repeat(np.arange(len(ids)), sizes)
+        self.corner = {k: v[rows] for k, v in corners.items()}
+        self.corner |= {k: self.corner[k].astype(np.int64).view(np.uint64) for k in ("d0", "d1")}
+        d0, d1 = self.corner["d0"], self.corner["d1"]
+        low = np.uint64((1 << 43) - 1)
+        self.parts = [d0 & low, d1 & low, d0 >> np.uint64(43) | d1 >> np.uint64(43) << np.uint64(21)]
+
+
+def near_corners(one: Block, other: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Corners of one and of other that share a part and are within RADIUS, each pair once; all of an image of one
+    together, for about STEP pairs at once."""
+    spans, work = [], np.zeros(len(one.image), np.int64)
+    for mine, theirs in zip(one.parts, other.parts):
+        order = np.argsort(theirs, kind="stable")
+        low = np.searchsorted(theirs[order], mine, "left")
+        n = np.searchsorted(theirs[order], mine, "right") - low
+        spans.append((order, low, n))
+        work += n
+    before = np.concatenate([[0], np.cumsum(work)])[one.start]
+    cuts = np.flatnonzero(np.diff(before[:-1] // STEP)) + 1
+    d, e = one.corner, other.corner
+    for first, last in zip([0, *cuts], [*cuts, len(one.ids)]):
+        s, t = one.start[first], one.start[last]
+        hits = []
+        for k, (order, low, n) in enumerate(spans):
+            n = n[s:t]
+            i = np.repeat(np.arange(s, t), n)
+            j = order[np.repeat(low[s:t] - np.cumsum(n) + n, n) + np.arange(len(i))]
+            near = np.bitwise_count(d["d0"][i] ^ e["d0"][j]) + np.bitwise_count(d["d1"][i] ^ e["d1"][j]) <= RADIUS
+            if same:
+                near &= one.image[i] < other.image[j]
+            i, j = i[near], j[near]
+            for p in range(k):
+                new = one.parts[p][i] != other.parts[p][j]
+                i, j = i[new], j[new]
+            hits.append((i, j))
+        yield tuple(np.concatenate(x) for x in zip(*hits))
+
+
+def block_links(one: Block, other: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the linked images in one and in other: what matches() and agreed() find, in memory."""
+    for i, j in near_corners(one, other, same):
+        names, pair, n = np.unique(one.image[i] * len(other.ids) + other.image[j], return_inverse=True, return_counts=True)
+        enough = n[pair] >= LEAST
+        i, j, pair = i[enough], j[enough], pair[enough]
+        if not len(i):
+            continue
+        turned = one.ids[one.image[i]] > other.ids[other.image[j]]
+        a, b = ({k: np.where(turned == swap, one.corner[k][i], other.corner[k][j]) for k in ("point", "x", "y", "scale", "turn")} for swap in (False, True))
+        angle = (b["turn"].astype(np.int64) - a["turn"]) * (2 * np.pi / TURNS)
+        ratio = np.array(SCALES)[a["scale"]] / np.array(SCALES)[b["scale"]]
+        xa, ya, xb, yb = (v.astype(float) for v in (a["x"], a["y"], b["x"], b["y"]))
+        dx = xb - ratio * (np.cos(angle) * xa - np.sin(angle) * ya)
+        dy = yb - ratio * (np.sin(angle) * xa + np.cos(angle) * ya)
+        sizes = [(dx, SHIFT_BIN), (dy, SHIFT_BIN), (np.mod(angle, 2 * np.pi), TURN_BIN * 2 * np.pi / TURNS)]
+        zoom = a["scale"].astype(np.int64) - b["scale"] + len(SCALES)
+        linked = np.zeros(len(names), bool)
+        for halves in product((0.0, 0.5), repeat=3):
+            code, width = pair * (2 * len(SCALES)) + zoom, 2 * len(SCALES)
+            for (value, size), half in zip(sizes, halves):
+                bin_ = np.floor(value / size + half).astype(np.int64)
+                bin_ -= bin_.min()
+                code, width = code * (bin_.max() + 1) + bin_, width * (bin_.max() + 1)
+            corners = len(SCALES) * CORNERS
+            votes, n = np.unique(np.unique(code * corners + a["point"]) // corners, return_counts=True)
+            linked[votes[n >= LEAST] // width] = True
+        yield np.divmod(names[linked], len(other.ids))
+
+
+def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (the least place of a class) after the links u, v."""
+    while (label[u] != label[v]).any():
+        x, y = label[u], label[v]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def crowd_links(points: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Links among images of the crowd (id), in a few rows for each two blocks of images: b, its number of links n
+    there, and an a < b of its class there (null if b is the least).
+
+    Every image meets every other in one task: blocks of BLOCK images in pairs.  That is quadratic in the crowd,
+    but a task holds two blocks and about STEP pairs of corners, whatever the sizes of groups."""
+    blocks = max(LEAST_BLOCKS, -(-crowd.count() // BLOCK))
+    fields = {"point": "tinyint", "x": "float", "y": "float", "scale": "tinyint", "turn": "tinyint", "d0": "long", "d1": "long"}
+    corner = F.struct(*[F.col(c).cast(t).alias(c) for c, t in fields.items()])
+    packed = points.join(crowd.hint("merge"), "id", "left_semi").groupBy("id").agg(F.collect_list(corner).alias("m")).select("id", *[F.col(f"m.{c}").alias(c) for c in fields])
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = packed.withColumns({"own": own, "met": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}).withColumns({"low": F.least("own", "met"), "high": F.greatest("own", "met")})
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        low, high = (k.as_py() for k in key)
+        sides = []
+        for block in dict.fromkeys((low, high)):
+            some = group.filter(pa.compute.equal(group["own"], block))
+            sizes = pa.compute.list_value_length(some["point"]).to_numpy().astype(np.int64)
+            sides.append(Block(some["id"].to_numpy(), sizes, {c: pa.compute.list_flatten(some[c]).to_numpy() for c in fields}))
+        one, other, shift = sides[0], sides[-1], len(sides[0].ids) if len(sides) > 1 else 0
+        ids = np.concatenate([s.ids for s in sides])
+        rank = np.argsort(np.argsort(ids))
+        label, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for u, v in block_links(one, other, low == high):
+            u, v = rank[u], rank[v + shift]
+            n += np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids))
+            label = joined(label, u, v)
+        ids, b = np.sort(ids), np.flatnonzero(n)
+        return pa.table({"a": pa.array(ids[label[b]], pa.int64(), mask=label[b] == b), "b": pa.array(ids[b], pa.int64()), "n": pa.array(n[b], pa.int64())})
+
+    return dealt.drop("met").groupBy("low", "high").applyInArrow(run, "a long, b long, n long")
+
+
 def agreed(found: DataFrame) -> DataFrame:
     """Linked images a < b: LEAST corners of a whose matches agree on rotation, scale and shift."""
     angle = (F.col("turn_b") - F.col("turn_a")) * (2 * np.pi / TURNS)
@@ -191,9 +325,13 @@ def copies(images: DataFrame) -> DataFrame:
     nodes = cut(ids.groupBy("node").agg(F.min("id").alias("least")))
     distinct = named.join(nodes.select("node", F.col("least").alias("id")).hint("merge"), ["node", "id"]).dropDuplicates(["id"])
     points = written(descriptors(distinct), "points")
-    linked = cut(agreed(matches(points)))
-    roots = components(linked).withColumnsRenamed({"node": "least", "root": "class_id"})
-    ends = linked.select(F.col("a").alias("least")).union(linked.select("b")).groupBy("least").agg(F.count(F.lit(1)).alias("n_links"))
+    crowd = crowded(points)
+    linked = cut(agreed(matches(points, crowd)))
+    within = cut(crowd_links(points, crowd))
+    roots = components(linked.union(within.filter("a is not null").select("a", "b"))).withColumnsRenamed({"node": "least", "root": "class_id"})
+    one = F.lit(1).cast("long").alias("n")
+    counts = linked.select(F.col("a").alias("least"), one).union(linked.select("b", one)).union(within.select("b", "n"))
+    ends = counts.groupBy("least").agg(F.sum("n").alias("n_links"))
     corners = points.groupBy(F.col("id").alias("least")).agg(F.count(F.lit(1)).alias("n_points"))
     known = nodes.join(corners, "least", "left").join(ends, "least", "left").join(roots, "least", "left")
     known = cut(known.select("node", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points")))

@@ -202,3 +202,19 @@ def test_links_against_all_pairs(spark):
     # one accidental link of two pictures makes a class of two, so pairs are counted with more room than links
     assert got <= want and together >= 0.8 * len(pairs)
     assert len(got) >= 0.9 * len(want)
+
+
+def test_crowded_parts_lose_no_link(spark):
+    """Two groups of 20 near copies: parts shared by over MOST corners, every link counted and in one class."""
+    rng = np.random.default_rng(3)
+    base = [picture(i) for i in (0, 1)]
+    images = [np.clip(base[i % 2] + rng.normal(0, 1.5, base[0].shape), 0, 255).astype(np.uint8) for i in range(40)] + [picture(i).astype(np.uint8) for i in range(5, 12)]
+    rows = [(k, v.shape[1], v.shape[0], v.tobytes()) for k, v in enumerate(images)]
+    points = media.descriptors(spark.createDataFrame(rows, media.IMAGES)).cache()
+    every = {(r["a"], r["b"]) for r in media.agreed(media.matches(points)).collect()}
+    crowd = media.crowded(points)
+    assert crowd.count() >= 30 and every <= slow_links(points.collect())
+    points.unpersist()
+    out = {r["id"]: r for r in media.copies(spark.createDataFrame(rows, media.IMAGES)).collect()}
+    assert {i: r["n_links"] for i, r in out.items()} == {i: sum(i in pair for pair in every) for i in out}
+    assert {i: r["class_id"] for i, r in out.items()} == classes(every, range(len(images))) and out[38]["n_links"] > 15

@@ -16,18 +16,35 @@ LINES = """ln AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_s
   io AS (SELECT o_orderkey AS l_orderkey, o_custkey, n_name AS iss, n_regionkey <> 3 AS trusted FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"""
 
 
-def credentials(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Lines with their issuer (the customer's nation) and the digests of their order, and the trusted issuers."""
-    li = read(spark, d, "lineitem")
-    true = F.col("l_quantity").cast("long")
-    claim = lambda value: F.struct(F.col("l_linestatus").alias("salt"), F.col("l_returnflag").alias("claim"), value.cast("string").alias("value"))
-    signed = li.groupBy("l_orderkey").agg(F.collect_set(rules.digest(F.col("l_linestatus"), F.col("l_returnflag"), true.cast("string"))).alias("digests"))
+def issuers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders with the customer and the issuer (the customer's nation), and the trusted issuers."""
     n = read(spark, d, "nation")
     home = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("iss"))
     issued = read(spark, d, "orders").join(home, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "iss")
-    told = claim(true + (F.col("l_suppkey") % 5 == 0).cast("int"))
-    lines = li.withColumns({"id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", true), "told": told, "copy": ((F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 100 + true}).join(signed, "l_orderkey").join(issued, "l_orderkey")
-    return lines, n.filter("n_regionkey <> 3").select(F.col("n_name").alias("iss"))
+    return issued, n.filter("n_regionkey <> 3").select(F.col("n_name").alias("iss"))
+
+
+def credentials(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as lists of lines, with their issuer and the digests of their lines, and the trusted issuers.
+
+    Lines are dealt once, as they are stored; what is longer than they are is worked out where an order's lines are."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", F.col("l_quantity").cast("long").alias("true"), *more)
+    issued, trust = issuers(spark, d)
+    held = read(spark, d, "lineitem").filter("l_orderkey is not null").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    claims = F.array_distinct(F.transform("lines", lambda x: F.struct(x["l_linestatus"].alias("s"), x["l_returnflag"].alias("c"), x["true"].cast("string").alias("v"))))
+    signed = F.array_compact(F.transform(claims, lambda c: rules.digest(c["s"], c["c"], c["v"])))
+    # before the join: beside what reads them, Spark would work the digests out again for each line
+    return held.withColumn("digests", signed).join(issued, "l_orderkey"), trust
+
+
+def line_id() -> F.Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))
+
+
+def told(line) -> F.Column:
+    """What a line discloses."""
+    value = line["true"] + (line["l_suppkey"] % 5 == 0).cast("int")
+    return F.struct(line["l_linestatus"].alias("salt"), line["l_returnflag"].alias("claim"), value.cast("string").alias("value"))
 
 
 def day(column: str) -> F.Column:
@@ -39,14 +56,17 @@ def day(column: str) -> F.Column:
 SELECT id AS request_id, CASE WHEN l_linenumber = 7 THEN 'unsupported' ELSE claim END AS claim, l_linenumber <> 7 AND coalesce(a AND b AND c AND e AND f, false) AS all_ok, CASE WHEN l_linenumber <> 7 AND a AND b AND c AND e AND f THEN CAST(told AS VARCHAR) END AS result,
 CASE WHEN a IS NULL OR l_linenumber = 7 THEN 'Issuer signature,Disclosure digest,Holder binding,Nonce and audience,Not expired' ELSE concat_ws(',', CASE WHEN NOT a THEN 'Issuer signature' END, CASE WHEN NOT b THEN 'Disclosure digest' END, CASE WHEN NOT c THEN 'Holder binding' END, CASE WHEN NOT e THEN 'Nonce and audience' END, CASE WHEN NOT f THEN 'Not expired' END) END AS failed FROM t""")
 def verified_presentations(spark: SparkSession, d: str) -> DataFrame:
-    lines, trust = credentials(spark, d)
+    held, trust = credentials(spark, d, "l_shipdate")
+    lines = held.select("l_orderkey", "o_custkey", "iss", "digests", F.inline("lines"))
+    lines = lines.withColumns({"id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "true"), "told": told({c: F.col(c) for c in lines.columns})})
     n, s = F.col("l_linenumber"), F.col("l_suppkey")
     disclosed = F.when(n == 6, F.array("told", "told")).when(n == 7, F.filter(F.array("told"), lambda x: F.lit(False))).otherwise(F.array("told"))
     proofs = lines.select(
         F.col("id").alias("request_id"), "iss", (s % 11 != 0).alias("signature_ok"), "digests", disclosed.alias("disclosures"), (F.col("l_partkey") % 23 != 0).alias("binding_ok"),
         F.when(s % 19 != 0, F.col("l_partkey")).alias("nonce"), F.col("o_custkey").alias("aud"), F.when(s % 13 == 0, "soon").otherwise(day("l_shipdate")).alias("exp"),
     )
-    requests = lines.select(F.col("id").alias("request_id"), F.when(n == 5, -1).otherwise(F.col("l_partkey")).alias("nonce"), F.col("o_custkey").alias("aud"), F.lit(NOW).cast("timestamp").alias("now"))
+    asked = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", line_id().alias("id")).join(issuers(spark, d)[0], "l_orderkey")
+    requests = asked.select(F.col("id").alias("request_id"), F.when(n == 5, -1).otherwise(F.col("l_partkey")).alias("nonce"), F.col("o_custkey").alias("aud"), F.lit(NOW).cast("timestamp").alias("now"))
     out = verify.verified_presentations(proofs, requests, trust)
     failed = F.transform(F.filter("checks", lambda c: ~c["ok"]), lambda c: c["name"])
     return out.select("request_id", "claim", "all_ok", "result", F.array_join(failed, ",").alias("failed"))
@@ -76,11 +96,15 @@ s AS (SELECT l_orderkey, min(copy) AS stop FROM c WHERE reason IS NOT NULL GROUP
 
 
 def batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lines, trust = credentials(spark, d)
-    copy = F.struct(
-        "copy", "iss", F.col("l_linestatus").alias("credential_type"), F.concat(F.lit("p"), "l_partkey").alias("holder_key"), (F.col("l_suppkey") % 11 != 0).alias("signature_ok"), "digests", F.array("told").alias("disclosures"),
-    )
-    rows = lines.groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.array_sort(F.collect_list(copy)).alias("copies")).withColumn("seq", F.col("batch_id"))
+    held, trust = credentials(spark, d)
+
+    def copy(x: F.Column) -> F.Column:
+        number = ((x["l_linenumber"].cast("long") * 1_000_000 + x["l_partkey"]) * 100_000 + x["l_suppkey"]) * 100 + x["true"]
+        return F.struct(
+            number.alias("copy"), F.col("iss"), x["l_linestatus"].alias("credential_type"), F.concat(F.lit("p"), x["l_partkey"]).alias("holder_key"), (x["l_suppkey"] % 11 != 0).alias("signature_ok"), F.col("digests"), F.array(told(x)).alias("disclosures"),
+        )
+
+    rows = held.select(F.col("l_orderkey").alias("batch_id"), F.array_sort(F.transform("lines", copy)).alias("copies"), F.col("l_orderkey").alias("seq"))
     pending = read(spark, d, "part").filter(F.col("p_size") % 2 == 0).select(F.concat(F.lit("p"), "p_partkey").alias("holder_key"))
     return rows, trust, pending
 
@@ -89,7 +113,7 @@ def batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
   WHERE (stop IS NULL OR copy < stop) AND p_size % 2 = 0) WHERE n = 1
 UNION ALL SELECT 'stopped', l_orderkey, copy, 'copy ' || copy || ': ' || reason FROM r WHERE copy = stop""")
 def imported_copies(spark: SparkSession, d: str) -> DataFrame:
-    stored, stops = verify.imported(*batches(spark, d))
-    number = F.regexp_extract("reason", "^copy (\\d+)", 1).cast("long")
-    out = stored.select(F.lit("stored").alias("what"), "batch_id", F.col("copy").cast("long").alias("copy"), F.col("holder_key").alias("detail"))
-    return out.union(stops.select(F.lit("stopped"), "batch_id", number, "reason"))
+    told = verify.import_outcomes(*batches(spark, d))
+    stopped = F.col("what") == "stopped"
+    number = F.when(stopped, F.regexp_extract("reason", "^copy (\\d+)", 1)).otherwise(F.col("copy")).cast("long")
+    return told.select("what", "batch_id", number.alias("copy"), F.when(stopped, F.col("reason")).otherwise(F.col("holder_key")).alias("detail"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import forms, text
 from tessera.operators import temporal
 from tessera.operators.citations import pieces
+from tessera.sources.shared import kept
 
 # fixed values
 HOLDER_LABELS = {
@@ -161,14 +162,18 @@ def cascade(documents: DataFrame, facts: DataFrame, before: DataFrame, now: Data
     close, and for each its best supporter of equal value reopens; those of documents that back them again reopen.
 
     Facts that no changed document reaches pass as they are, in one join on the few changed documents."""
-    moved = changed_holders(documents, before, now)
-    lost = moved.filter(backs(F.col("was")) & ~F.coalesce(backs(F.col("holder_status")), F.lit(False))).select("doc_id")
-    won = moved.filter(~backs(F.col("was")) & backs(F.col("holder_status"))).select("doc_id")
+    moved = kept(changed_holders(documents, before, now))
+    lost = backs(F.col("was")) & ~F.coalesce(backs(F.col("holder_status")), F.lit(False))
+    won = ~backs(F.col("was")) & backs(F.col("holder_status"))
+    marks = moved.select("doc_id", F.when(lost, "lost").when(won, "won").alias("__turn")).filter("__turn is not null")
+    gone = marks.filter("__turn = 'lost'").select("doc_id")
     is_open = F.col("valid_to").isNull() & F.col("superseded_by").isNull()
-    marks = lost.withColumn("__turn", F.lit("lost")).unionByName(won.withColumn("__turn", F.lit("won")))
-    rows = facts.join(marks, "doc_id", "left").select(*facts.columns, "__turn")
-    closing = rows.filter(is_open & (F.col("__turn") == "lost")).select(*facts.columns)
-    held = documents.join(lost, "doc_id", "left_anti").select("doc_id", "removed_at", "signature_status")
+    # facts without a document are dealt by their own ids, not all of them to one task
+    own = F.coalesce(F.col("doc_id").cast("string"), F.col("fact_id").cast("string"))
+    turns = marks.select(F.col("doc_id").cast("string").alias("__doc"), "__turn")
+    rows = facts.join(turns, (own == F.col("__doc")) & F.col("doc_id").isNotNull(), "left").select(*facts.columns, "__turn")
+    closing = facts.filter(is_open).join(gone, "doc_id", "left_semi").select(*facts.columns)
+    held = documents.join(gone, "doc_id", "left_anti").select("doc_id", "removed_at", "signature_status")
     heirs = temporal.promoted(closing, facts, held).select(F.col("fact_id").alias("__heir"))
     rows = rows.join(heirs, rows["fact_id"] == heirs["__heir"], "left")
     shut = is_open & (F.col("__turn") == "lost")

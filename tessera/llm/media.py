@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ SCALES = (1.0, 0.75, 0.5)
 CORNERS, REACH, TURNS, BITS = 10, 7, 24, 128
 RADIUS, LEAST = 14, 5
 MOST = 16
-BLOCK, LEAST_BLOCKS, STEP = 8192, 4, 500_000
+BLOCK, LEAST_BLOCKS, STEP, CELLS = 8192, 4, 100_000, 32
 SHIFT_BIN, TURN_BIN = 8.0, 3
 SIDE, GRID = 64, 8
 IMAGES = "id long, width int, height int, pixels binary"
@@ -193,44 +192,77 @@ class Block:
 
 
 def near_corners(one: Block, other: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Corners of one and of other that share a part and are within RADIUS, each pair once; all of an image of one
-    together, for about STEP pairs at once."""
+    """Corners of one and of other that share a part and are within RADIUS, each pair once, of those images that have
+    LEAST such pairs of one difference of scale; all of an image of one together, for about STEP pairs (and at most CELLS times as many counts) at once.
+
+    The shared parts of two images are counted before their corners are looked at: few images share LEAST."""
+    zooms = 2 * len(SCALES) - 1
     spans, work = [], np.zeros(len(one.image), np.int64)
     for mine, theirs in zip(one.parts, other.parts):
         order = np.argsort(theirs, kind="stable")
-        low = np.searchsorted(theirs[order], mine, "left")
-        n = np.searchsorted(theirs[order], mine, "right") - low
-        spans.append((order, low, n))
-        work += n
-    before = np.concatenate([[0], np.cumsum(work)])[one.start]
-    cuts = np.flatnonzero(np.diff(before[:-1] // STEP)) + 1
+        value, image = theirs[order], other.image[order]
+        high = np.searchsorted(value, mine, "right")
+        if same:  # from behind an image's own corners on, as those of a value are in order of images
+            stops = np.append(np.flatnonzero((value[1:] != value[:-1]) | (image[1:] != image[:-1])) + 1, len(value))
+            low = np.empty_like(high)
+            low[order] = np.repeat(stops, np.diff(stops, prepend=0))
+        else:
+            low = np.searchsorted(value, mine, "left")
+        spans.append((order, low, high - low, image * zooms - other.corner["scale"][order]))
+        work += high - low
     d, e = one.corner, other.corner
+    wide = len(other.ids) * zooms
+    before = np.concatenate([[0], np.cumsum(work)])[one.start] + np.arange(len(one.start)) * (wide // CELLS)
+    cuts = np.flatnonzero(np.diff(before[:-1] // STEP)) + 1
     for first, last in zip([0, *cuts], [*cuts, len(one.ids)]):
         s, t = one.start[first], one.start[last]
-        hits = []
-        for k, (order, low, n) in enumerate(spans):
+        base = (one.image[s:t] - first) * wide + d["scale"][s:t] + len(SCALES) - 1
+        places, keys = [], []
+        for _, low, n, place in spans:
             n = n[s:t]
-            i = np.repeat(np.arange(s, t), n)
-            j = order[np.repeat(low[s:t] - np.cumsum(n) + n, n) + np.arange(len(i))]
+            at = np.repeat(low[s:t] - np.cumsum(n) + n, n)
+            at += np.arange(len(at))
+            places.append(at)
+            keys.append(np.repeat(base, n) + place[at])
+        enough = np.bincount(np.concatenate(keys)) >= LEAST
+        hits = []
+        for k, ((order, _, n, _), at, key) in enumerate(zip(spans, places, keys)):
+            kept = np.flatnonzero(enough[key])
+            i, j, key = np.searchsorted(np.cumsum(n[s:t]), kept, "right") + s, order[at[kept]], key[kept]
             near = np.bitwise_count(d["d0"][i] ^ e["d0"][j]) + np.bitwise_count(d["d1"][i] ^ e["d1"][j]) <= RADIUS
-            if same:
-                near &= one.image[i] < other.image[j]
-            i, j = i[near], j[near]
             for p in range(k):
-                new = one.parts[p][i] != other.parts[p][j]
-                i, j = i[new], j[new]
-            hits.append((i, j))
-        yield tuple(np.concatenate(x) for x in zip(*hits))
+                near &= one.parts[p][i] != other.parts[p][j]
+            hits.append((i[near], j[near], key[near]))
+        i, j, key = (np.concatenate(x) for x in zip(*hits))
+        _, pair, n = np.unique(key, return_inverse=True, return_counts=True)
+        enough = n[pair] >= LEAST
+        yield i[enough], j[enough]
+
+
+def vote(code: np.ndarray, point: np.ndarray, bins: list[tuple[np.ndarray, float]], pair: np.ndarray, linked: np.ndarray) -> None:
+    """Mark in linked the pairs of which LEAST points fall into one bin of each kind; bins overlap by half.
+
+    Kind by kind, only matches go on whose bins so far hold LEAST and whose pair is not linked yet."""
+    if not bins:
+        first = np.unique(code * (len(SCALES) * CORNERS) + point, return_index=True)[1]
+        _, at, n = np.unique(code[first], return_index=True, return_counts=True)
+        linked[pair[first[at[n >= LEAST]]]] = True
+        return
+    (value, size), *others = bins
+    for half in (0.0, 0.5):
+        bin_ = np.floor(value / size + half).astype(np.int64)
+        _, within, n = np.unique(code * (np.ptp(bin_) + 1) + bin_ - bin_.min(), return_inverse=True, return_counts=True)
+        on = np.flatnonzero((n[within] >= LEAST) & ~linked[pair])
+        if len(on):
+            vote(within[on], point[on], [(v[on], w) for v, w in others], pair[on], linked)
 
 
 def block_links(one: Block, other: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the linked images in one and in other: what matches() and agreed() find, in memory."""
     for i, j in near_corners(one, other, same):
-        names, pair, n = np.unique(one.image[i] * len(other.ids) + other.image[j], return_inverse=True, return_counts=True)
-        enough = n[pair] >= LEAST
-        i, j, pair = i[enough], j[enough], pair[enough]
         if not len(i):
             continue
+        names, pair = np.unique(one.image[i] * len(other.ids) + other.image[j], return_inverse=True)
         turned = one.ids[one.image[i]] > other.ids[other.image[j]]
         a, b = ({k: np.where(turned == swap, one.corner[k][i], other.corner[k][j]) for k in ("point", "x", "y", "scale", "turn")} for swap in (False, True))
         angle = (b["turn"].astype(np.int64) - a["turn"]) * (2 * np.pi / TURNS)
@@ -238,18 +270,10 @@ def block_links(one: Block, other: Block, same: bool) -> Iterator[tuple[np.ndarr
         xa, ya, xb, yb = (v.astype(float) for v in (a["x"], a["y"], b["x"], b["y"]))
         dx = xb - ratio * (np.cos(angle) * xa - np.sin(angle) * ya)
         dy = yb - ratio * (np.sin(angle) * xa + np.cos(angle) * ya)
-        sizes = [(dx, SHIFT_BIN), (dy, SHIFT_BIN), (np.mod(angle, 2 * np.pi), TURN_BIN * 2 * np.pi / TURNS)]
+        bins = [(np.mod(angle, 2 * np.pi), TURN_BIN * 2 * np.pi / TURNS), (dx, SHIFT_BIN), (dy, SHIFT_BIN)]
         zoom = a["scale"].astype(np.int64) - b["scale"] + len(SCALES)
         linked = np.zeros(len(names), bool)
-        for halves in product((0.0, 0.5), repeat=3):
-            code, width = pair * (2 * len(SCALES)) + zoom, 2 * len(SCALES)
-            for (value, size), half in zip(sizes, halves):
-                bin_ = np.floor(value / size + half).astype(np.int64)
-                bin_ -= bin_.min()
-                code, width = code * (bin_.max() + 1) + bin_, width * (bin_.max() + 1)
-            corners = len(SCALES) * CORNERS
-            votes, n = np.unique(np.unique(code * corners + a["point"]) // corners, return_counts=True)
-            linked[votes[n >= LEAST] // width] = True
+        vote(pair * (2 * len(SCALES)) + zoom, a["point"].astype(np.int64), bins, pair, linked)
         yield np.divmod(names[linked], len(other.ids))
 
 

@@ -218,3 +218,33 @@ def test_crowded_parts_lose_no_link(spark):
     out = {r["id"]: r for r in media.copies(spark.createDataFrame(rows, media.IMAGES)).collect()}
     assert {i: r["n_links"] for i, r in out.items()} == {i: sum(i in pair for pair in every) for i in out}
     assert {i: r["class_id"] for i, r in out.items()} == classes(every, range(len(images))) and out[38]["n_links"] > 15
+
+
+def test_blocks_hand_on_only_images_that_can_be_linked():
+    """Corners of images that share too few are not handed on; links are the same in one block and in two."""
+    rng, up = np.random.default_rng(5), media.resizer_up()
+    plain = [128 + 50 * up @ rng.normal(size=(media.GRID, media.GRID)) @ up.T for _ in range(14)]
+    images = np.clip([v + rng.normal(0, 1.5, v.shape) for v in plain for _ in range(2)], 0, 255).astype(np.uint8)
+    points = []
+    for scale, (image, x, y, turn, bits) in enumerate(media.described(images)):
+        order = np.arange(len(image)) - np.searchsorted(image, image)
+        points += [dict(zip(("id", "point", "x", "y", "scale", "turn", "d0", "d1"), p)) for p in zip(image.tolist(), (scale * media.CORNERS + order).tolist(), x.tolist(), y.tolist(), [scale] * len(image), turn.tolist(), *bits.T.tolist())]
+
+    def block(ids):
+        rows = sorted((p for p in points if p["id"] in ids), key=lambda p: p["id"])
+        names, sizes = np.unique([p["id"] for p in rows], return_counts=True)
+        return media.Block(names, sizes, {k: np.array([p[k] for p in rows]) for k in rows[0] if k != "id"})
+
+    def links(one, other, same):
+        return {tuple(sorted(p)) for u, v in media.block_links(one, other, same) for p in zip(one.ids[u].tolist(), other.ids[v].tolist())}
+
+    whole, odd, even = (block(range(k, len(images), step)) for k, step in ((0, 1), (1, 2), (0, 2)))
+    got = links(whole, whole, True)
+    assert len(got) >= 12 and got <= slow_links(points)
+    assert got == links(odd, odd, True) | links(even, even, True) | links(odd, even, False)
+    for one, other, same in ((whole, whole, True), (odd, even, False)):
+        shared = {}
+        for i, j in media.near_corners(one, other, same):
+            for p in zip(one.image[i].tolist(), other.image[j].tolist(), (one.corner["scale"][i] - other.corner["scale"][j]).tolist()):
+                shared[p] = shared.get(p, 0) + 1
+        assert min(shared.values()) >= media.LEAST
